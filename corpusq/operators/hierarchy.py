@@ -205,13 +205,16 @@ def _distributed(rows: DataFrame, lists: list[str]) -> DataFrame:
     return done.withColumns({"cyclic": F.expr("root IS NULL"), "n_below": F.expr("CASE WHEN root IS NOT NULL THEN n_below END")})
 
 
-def resolve_hierarchy(df: DataFrame, group: str, node: str, parent: str, label: str | None = None, paths: bool = True, max_local: int = MAX_LOCAL) -> DataFrame:
+def resolve_hierarchy(df: DataFrame, group: str, node: str, parent: str, label: str | None = None, paths: bool = True, max_local: int = MAX_LOCAL, size_source: DataFrame | None = None) -> DataFrame:
     """Every column of `df` plus root, depth (0 at a root), n_below, cyclic and, with `paths`, path (node first, root
     last) and, with `label`, labels on the way.
 
     `node` is unique within `group`; where it is repeated one row (the least by parent and label) stands for it. A parent
     that is NULL or not a node of the group ends the chain. Rows with a NULL group or node are in no hierarchy and left
     out. On and below a cycle root, depth, n_below, path and labels are NULL. Names of added columns must be free in `df`.
+
+    Group sizes are counted over `size_source` if given: a table that is cheaper to read than `df` and has at least as many
+    rows of each group.
     """
     clash = {"root", "depth", "n_below", "cyclic", "path", "labels"} & set(df.columns)
     if clash:
@@ -223,7 +226,7 @@ def resolve_hierarchy(df: DataFrame, group: str, node: str, parent: str, label:
         if label:
             added.append(T.StructField("labels", T.ArrayType(df.schema[label].dataType)))
     schema = T.StructType([*df.schema.fields, *added])
-    big = df.groupBy(group).count().where(F.col("count") > max_local).select(group)
+    big = (df if size_source is None else size_source).groupBy(group).count().where(F.col("count") > max_local).select(group)
     has_big = bool(big.limit(1).count())
     small = df.join(big, group, "left_anti").select(df.columns) if has_big else df
     spread = small.repartition(group).sortWithinPartitions(group, node, parent, *([label] if label else []))

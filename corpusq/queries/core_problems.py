@@ -10,6 +10,8 @@ from corpusq.operators.hierarchy import resolve_hierarchy
 from corpusq.operators.latest import latest_valid
 from corpusq.sources.delimited import TOKEN_LINES, accepted, rejected, split_lines
 
+#: Neighbouring positions kept together where deliveries are told apart.
+POSITION_BLOCK = 4096
 #: A word or lemma is heavy from this share of all positions on.
 HEAVY_SHARE = 200
 
@@ -20,21 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The valid delivery of each position; only the named columns are read."""
-    return latest_valid(table(spark, sf_dir, "tokens").select("pos", *columns, "ingested_at"), "pos").drop("ingested_at")
+    return latest_valid(table(spark, sf_dir, "tokens").select("pos", *columns, "ingested_at"), "pos", block=POSITION_BLOCK).drop("ingested_at")
 
 
-def _heads(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def _hierarchy(spark: SparkSession, sf_dir: str, label: str | None = None, paths: bool = True) -> DataFrame:
     # A head of 0 or NULL is no token's tok_in_sent, so its chain ends there.
-    return tokens(spark, sf_dir, "sent_idx", "tok_in_sent", "head", *more)
+    t = tokens(spark, sf_dir, "sent_idx", "tok_in_sent", "head", *([label] if label else []))
+    return resolve_hierarchy(t, "sent_idx", "tok_in_sent", "head", label, paths, size_source=table(spark, sf_dir, "tokens"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve_hierarchy(_heads(spark, sf_dir), "sent_idx", "tok_in_sent", "head", paths=False).where("cyclic").select("pos")
+    return _hierarchy(spark, sf_dir, paths=False).where("cyclic").select("pos")
 
 
 def p2_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token with its top token, depth, number of tokens below, path and deprels on the way."""
-    r = resolve_hierarchy(_heads(spark, sf_dir, "deprel"), "sent_idx", "tok_in_sent", "head", "deprel")
+    r = _hierarchy(spark, sf_dir, "deprel")
     return r.select(
         "pos", "sent_idx", F.col("root").alias("top_tok"), "depth", "n_below", "cyclic",
         F.expr("array_join(transform(path, x -> string(x)), '/')").alias("path"),
@@ -44,7 +47,7 @@ def p2_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each token and token below it, with the distance."""
-    r = resolve_hierarchy(_heads(spark, sf_dir), "sent_idx", "tok_in_sent", "head")
+    r = _hierarchy(spark, sf_dir)
     return r.where("depth > 0").select("sent_idx", F.posexplode("path").alias("distance", "tok"), F.col("tok_in_sent").alias("below_tok")).where("distance > 0").select("sent_idx", "tok", "below_tok", F.col("distance").cast("long"))
 
 
