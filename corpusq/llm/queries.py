@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.llm import abuse, burst_trie, lookalikes
+from corpusq.llm import abuse, align, burst_trie, lookalikes, mixing, packing
+from corpusq.llm.sizes import with_sizes
+from corpusq.functions.storage import written
 from corpusq.operators.latest import latest_valid
-from corpusq.queries.core_problems import _VALID, table, tokens
+from corpusq.queries.core_problems import _VALID, POSITION_BLOCK, table, tokens
 
 #: A document is reported from this score of its worst passage on.
 ABUSE_THRESHOLD = 0.2
@@ -45,6 +47,40 @@ def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical_forms(_vocabulary(tokens(spark, sf_dir, "comp", "word", "lemma")))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of each piece of one, for every capacity."""
+    return packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_specs"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, the number that no packing goes below, tokens, unused share."""
+    sizes = written(_sizes(spark, sf_dir), "sizes")
+    specs = table(spark, sf_dir, "pack_specs")
+    least = packing.lower_bounds(packing.items_of(sizes, specs))
+    bound = spark.createDataFrame(list(least.items()), "spec_name string, lower_bound bigint")
+    used = packing.pack(sizes, specs).groupBy("spec_name", "capacity", "container").agg(F.sum("n_tokens").alias("used"))
+    per = used.groupBy("spec_name", "capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+    return per.join(bound, "spec_name").withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in each mix."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix and source: targets and what is reached."""
+    return mixing.shares(*_mix(spark, sf_dir))
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     weights = abuse.train(docs, table(spark, sf_dir, "doc_labels"))
@@ -61,7 +97,25 @@ def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_scores(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_found"), (F.sum(hit) / F.count(F.lit(1))).alias("rate"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_terms": p5_terms, "p6_found": p6_found, "p6_forms": p6_forms, "p9_found": p9_found, "p9_scores": p9_scores, "p9_sources": p9_sources}
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = latest_valid(table(spark, sf_dir, "corpus_docs"), "doc_idx")
+    meta = table(spark, sf_dir, "alignment_meta")
+    found = align.align_sentences(tokens(spark, sf_dir, "doc_idx", "sent_idx", "sent_in_doc", "word", "lemma", "upos"), docs, meta)
+    sentences = latest_valid(table(spark, sf_dir, "sentences").select("sent_idx", "sent_in_doc", "doc_idx", "ingested_at"), "sent_idx", block=POSITION_BLOCK)
+    given = align.hand_made(table(spark, sf_dir, "alignment_edges"), docs, sentences, align.document_pairs(docs, meta))
+    return found.unionByName(given.withColumn("similarity", F.lit(None).cast("double"))).groupBy("align_name", "sent_a", "sent_b").agg(F.max("similarity").alias("similarity"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir).select(F.least("sent_a", "sent_b").alias("sent_idx_a"), F.greatest("sent_a", "sent_b").alias("sent_idx_b")).distinct()
+
+
+def p1_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs as edges: source and target sentence of each alignment; similarity is NULL for edges only given by hand."""
+    return _aligned(spark, sf_dir)
+
+
+QUERIES = {"p1_found": p1_found, "p1_edges": p1_edges, "p5_found": p5_found, "p5_terms": p5_terms, "p6_found": p6_found, "p6_forms": p6_forms, "p7_pack": p7_pack, "p7_report": p7_report, "p8_draws": p8_draws, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_sources": p9_sources}
 
 _TERMS = f"""WITH valid AS (SELECT * FROM {_VALID}), v AS (SELECT 'word' AS layer, word AS term, doc_idx FROM valid UNION ALL SELECT 'lemma', lemma, doc_idx FROM valid UNION ALL SELECT 'upos', upos, doc_idx FROM valid),
 counts AS (SELECT layer, term, count(*) AS n_positions, count(DISTINCT doc_idx) AS n_docs FROM v WHERE term IS NOT NULL GROUP BY ALL),
