@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.errors import UnknownLayer
@@ -63,16 +63,23 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def from_deliveries(spark: SparkSession, directory: str, block: int = 4096) -> Corpus:
-    """A corpus over tables with repeated deliveries (the latest is valid), read lazily and column by column."""
+def feature(key: str) -> Column:
+    """The value of the first key=value pair of that key in feats."""
+    own = F.filter(F.split("feats", r"\|"), lambda x: x.startswith(f"{key}="))
+    return F.substr(F.try_element_at(own, F.lit(1)), F.lit(len(key) + 2))
+
+
+def from_deliveries(spark: SparkSession, directory: str, features: tuple[str, ...] = (), block: int = 4096) -> Corpus:
+    """A corpus over tables with repeated deliveries (the latest is valid), read lazily and column by column. `features` are
+    the keys in feats that get a layer of their own."""
     read = lambda name: spark.read.parquet(f"{directory}/{name}.parquet")
-    raw = read("tokens")
+    raw = read("tokens").withColumns({f"feats.{k}": feature(k) for k in features})
 
     def tokens_of(columns: tuple[str, ...]) -> DataFrame:
-        return latest_valid(raw.select("pos", *columns, "ingested_at"), "pos", block=block).drop("ingested_at")
+        return latest_valid(raw.select("pos", *[F.col(f"`{c}`") for c in columns], "ingested_at"), "pos", block=block).drop("ingested_at")
 
     return Corpus(
-        spark, "corpus", tokens_of, CORE_LAYERS,
+        spark, "corpus", tokens_of, (*CORE_LAYERS, *(f"feats.{k}" for k in features)),
         latest_valid(read("sentences").select("sent_idx", "sent_in_doc", "doc_idx", "start_pos", "end_pos", "sent_id", "ingested_at"), "sent_idx").drop("ingested_at"),
         latest_valid(read("corpus_docs").select("doc_idx", "doc_in_comp", "comp", "doc_name", "start_pos", "end_pos", "ingested_at"), "doc_idx").drop("ingested_at"),
         read("components"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusq.errors import CorpusError, FormatError
 from corpusq.functions.ordering import running_offsets
 from corpusq.functions.storage import written
-from corpusq.model import CORE_LAYERS, NO_EDGES, NO_META, Corpus
+from corpusq.model import CORE_LAYERS, NO_EDGES, NO_META, Corpus, feature
 from corpusq.sources.readers import ConlluReader, CorpusReader, Parsed
 
 RANGE_ID, EMPTY_ID = r"^\d+-\d+$", r"^\d+\.\d+$"
@@ -90,8 +90,7 @@ def assemble(spark: SparkSession, name: str, parsed: list[tuple[str | None, Pars
         pairs = F.filter(F.split("feats", r"\|"), lambda x: x.contains("="))
         keys_found = tokens.select(F.explode(F.transform(pairs, lambda x: F.split(x, "=", 2)[0])).alias("k")).distinct().orderBy("k")
         for r in keys_found.collect():  # names of features, a few dozen
-            own = F.filter(F.split("feats", r"\|"), lambda x, k=r.k: x.startswith(f"{k}="))
-            tokens = tokens.withColumn(f"feats.{r.k}", F.substr(F.try_element_at(own, F.lit(1)), F.lit(len(r.k) + 2)))
+            tokens = tokens.withColumn(f"feats.{r.k}", feature(r.k))
             extra.append(f"feats.{r.k}")
     bounds = F.split("id", "-")
     mwt = rows.where("kind = 'range'").join(at, keys).select((F.col("start_pos") + F.get(bounds, F.lit(0)).cast("long") - 1).alias("start_pos"), (F.col("start_pos") + F.get(bounds, F.lit(1)).cast("long")).alias("end_pos"), F.col("word").alias("form"), _space_off().alias("no_space_after"))
