@@ -111,7 +111,18 @@ _BELOW = """below AS (
 
 QUERIES = {"p2_found": p2_found, "p2_tree": p2_tree, "p2_below": p2_below, "p3_found": p3_found, "p3_terms": p3_terms, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_tokens": p4_tokens}
 
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_LINES = rf"""WITH lines AS (SELECT raw_id, coalesce(line, '') AS line FROM raw_rows WHERE line_no IS NULL OR line_no <> 1),
+cut AS (SELECT *, regexp_full_match(line, '(?s){_FIELD}(,{_FIELD})*') AS quoted, regexp_extract_all(line || ',', '(?s)({_FIELD}),', 1) AS f FROM lines),
+bare AS (SELECT *, list_transform(f, lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS v FROM cut),
+judged AS (SELECT *, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 11 THEN 'column_count'
+  WHEN regexp_matches(line, '[\x00-\x1f\x7f-\x{{9f}}\x{{fffd}}]') OR v[1] = '_' OR regexp_full_match(v[1], '[\s\x{{a0}}]*') OR regexp_full_match(v[3], '[\s\x{{a0}}]*')
+  OR NOT regexp_full_match(v[2], '[1-9][0-9]*(-[1-9][0-9]*)?|[0-9]+[.][1-9][0-9]*') OR NOT regexp_full_match(v[8], '_|[0-9]+')
+  OR v[5] NOT IN ('_', 'ADJ', 'ADP', 'ADV', 'AUX', 'CCONJ', 'DET', 'INTJ', 'NOUN', 'NUM', 'PART', 'PRON', 'PROPN', 'PUNCT', 'SCONJ', 'SYM', 'VERB', 'X') THEN 'bad_value' END AS reason FROM bare)"""
 SQL = {
+    "p4_found": f"{_LINES} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p4_tokens": f"""{_LINES} SELECT raw_id, v[1] AS sent_id, v[2] AS id, v[3] AS word, nullif(v[4], '_') AS lemma, nullif(v[5], '_') AS upos, nullif(v[6], '_') AS xpos, nullif(v[7], '_') AS feats,
+TRY_CAST(v[8] AS BIGINT) AS head, nullif(v[9], '_') AS deprel, nullif(v[10], '_') AS deps, nullif(v[11], '_') AS misc FROM judged WHERE reason IS NULL""",
     "p2_found": f"WITH RECURSIVE {_UP} SELECT pos FROM link WHERE (sent_idx, tok) NOT IN (SELECT (sent_idx, tok) FROM walk)",
     "p2_tree": f"""WITH RECURSIVE {_UP}, {_BELOW}
 SELECT l.pos, l.sent_idx, w.top AS top_tok, CAST(w.depth AS BIGINT) AS depth, CASE WHEN w.tok IS NOT NULL THEN coalesce(n.n, 0) END AS n_below, w.tok IS NULL AS cyclic, w.path, w.rels AS deprel_path

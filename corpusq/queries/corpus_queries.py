@@ -22,8 +22,12 @@ _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER
 _WITH = f"WITH RECURSIVE t AS ({_LATEST.format(key='pos', table='tokens')}), s AS ({_LATEST.format(key='sent_idx', table='sentences')}), d AS ({_LATEST.format(key='doc_idx', table='corpus_docs')})"
 
 
+#: Corpora that were stored and opened stand for the tables they were made of.
+OPEN: dict[str, Corpus] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return from_deliveries(spark, sf_dir, FEATURES)
+    return OPEN.get(sf_dir) or from_deliveries(spark, sf_dir, FEATURES)
 
 
 def _add(name: str, query: Callable[[Corpus], DataFrame], sql: str | None = None, more: str = "") -> None:
@@ -66,12 +70,13 @@ _cql("q_sequence_crossing", '[pos="PUNCT"] [pos="DET"] [pos="NOUN"]', f"SELECT {
 _cql("q_sequence_apart", '[pos="PUNCT"] [pos!="PUNCT"]', f"SELECT {_ONE}, a.pos + 2 AS end_pos FROM t a JOIN t b ON b.pos = a.pos + 1 AND b.doc_idx = a.doc_idx WHERE a.upos = 'PUNCT' AND b.upos IS DISTINCT FROM 'PUNCT'")
 _cql("q_any_between", '[pos="DET"] [] [pos="NOUN"] within s', f"SELECT {_ONE}, a.pos + 3 AS end_pos FROM t a JOIN t b ON b.pos = a.pos + 2 AND b.doc_idx = a.doc_idx WHERE a.{_DET} AND b.{_NOUN} AND a.pos + 3 <= a.sent_end")
 _cql("q_plus", '[pos="ADJ"]+', "SELECT a AS start_pos, b AS end_pos FROM r", _run_of("r", _ADJ))
-_cql("q_between", '[pos="ADJ"]{2,4}', "SELECT a AS start_pos, b AS end_pos FROM r WHERE b - a BETWEEN 2 AND 4", _run_of("r", _ADJ))
+_cql("q_between", '([pos="DET"] | [pos="ADJ"] | [pos="NOUN"]){2,4}', "SELECT a AS start_pos, b AS end_pos FROM r WHERE b - a BETWEEN 2 AND 4", _run_of("r", "upos IN ('DET', 'ADJ', 'NOUN')"))
 _cql("q_star", '[pos="DET"] [pos="ADJ"]* [pos="NOUN"] within s', f"""SELECT DISTINCT a.pos AS start_pos, n.pos + 1 AS end_pos FROM t a LEFT JOIN r ON r.a = a.pos + 1 AND r.doc_idx = a.doc_idx
 JOIN t n ON n.doc_idx = a.doc_idx AND (n.pos = r.b OR n.pos = a.pos + 1) WHERE a.{_DET} AND n.{_NOUN} AND n.pos < a.sent_end""", _run_of("r", _ADJ))
-_OPTIONAL = f"SELECT r.a AS start_pos, n.pos + 1 AS end_pos FROM (SELECT pos AS a, pos + 1 AS b, doc_idx FROM t WHERE {_NOUN}) r JOIN t n ON n.pos = r.b AND n.doc_idx = r.doc_idx WHERE n.{_ADJ}"
-_cql("q_optional_first", '[pos="NOUN"]? [pos="ADJ"]', f"{_OPTIONAL} UNION SELECT n.pos, n.pos + 1 FROM t n LEFT JOIN t p ON p.pos = n.pos - 1 AND p.doc_idx = n.doc_idx AND p.{_ADJ} WHERE n.{_ADJ} AND p.pos IS NULL")
-_cql("q_optional_first_standard", '[pos="NOUN"]? [pos="ADJ"]', f"{_OPTIONAL} UNION SELECT pos, pos + 1 FROM t WHERE {_ADJ}", options=Options("standard"))
+_SET, _BOTH = "upos IN ('DET', 'ADJ', 'NOUN')", '[pos="ADV"]? [pos=/^(DET|ADJ|NOUN)$/]'
+_OPTIONAL = f"SELECT r.pos AS start_pos, n.pos + 1 AS end_pos FROM t r JOIN t n ON n.pos = r.pos + 1 AND n.doc_idx = r.doc_idx WHERE r.{_ADV} AND n.{_SET}"
+_cql("q_optional_first", _BOTH, f"{_OPTIONAL} UNION SELECT n.pos, n.pos + 1 FROM t n LEFT JOIN t p ON p.pos = n.pos - 1 AND p.doc_idx = n.doc_idx AND p.{_SET} WHERE n.{_SET} AND p.pos IS NULL")
+_cql("q_optional_first_standard", _BOTH, f"{_OPTIONAL} UNION SELECT pos, pos + 1 FROM t WHERE {_SET}", options=Options("standard"))
 _cql("q_gap", '[lemma="garden"] []{1,3} [pos="VERB"]', "SELECT a.pos AS start_pos, b.pos + 1 AS end_pos FROM t a JOIN t b ON b.doc_idx = a.doc_idx AND b.pos BETWEEN a.pos + 2 AND a.pos + 4 WHERE a.lemma = 'garden' AND b.upos = 'VERB'")
 _cql("q_open_gap", '[lemma="merchant"] []* [lemma="river"] within s', "SELECT a.pos AS start_pos, b.pos + 1 AS end_pos FROM t a JOIN t b ON b.doc_idx = a.doc_idx AND b.pos BETWEEN a.pos + 1 AND a.pos + 101 WHERE a.lemma = 'merchant' AND b.lemma = 'river' AND b.pos < a.sent_end")
 # alternatives and groups
