@@ -2,7 +2,7 @@
 
 A document is as bad as its worst passage (sentence). Judgements exist for whole documents, so training alternates: all
 sentences of a harmless document are harmless; of a bad one, the sentence the model so far finds worst is bad, the
-rest are left out. Words are brought to one form first (look-alikes, digits for letters, repeated or spaced-out letters),
+rest are left out, and so are, after two rounds, judgements that the model finds far off. Words are brought to one form first (look-alikes, digits for letters, repeated or spaced-out letters),
 then hashed; n-grams are sums of rotated word hashes, made for a whole batch of sentences by array arithmetic. L1
 leaves few weights: at most 2**BITS, whatever the data, so they go to every task.
 """
@@ -26,6 +26,10 @@ BITS = 20
 MASK = np.uint64((1 << BITS) - 1)
 #: The classifier is fitted on at most this many judged documents, chosen by hash of the id.
 MAX_LABELLED = 20_000
+#: One bad sentence weighs as much as so many harmless ones, which are far more.
+BAD_WEIGHT = 3.0
+#: Features of fewer sentences are not learnt.
+MIN_COUNT = 3
 #: Texts of one Arrow batch are taken in slices of about this many characters.
 SLICE_CHARS = 2_000_000
 _TOKEN = re.compile(r"\n|[.!?]+(?=[\s\"»”)]|$)|[^\s.!?,;:\"«»“”()\[\]…¿¡]+(?:\.(?=\w)[^\s.!?,;:\"«»“”()\[\]…¿¡]+)*")
@@ -136,10 +140,12 @@ def sentence_scores(w: np.ndarray, feature: np.ndarray, sentence: np.ndarray, n:
     return _sigmoid(np.bincount(sentence, w[feature], n) / np.sqrt(count) * GAIN + BIAS)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 256, seed: int = 3) -> np.ndarray:
+def fit(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 256, seed: int = 3) -> np.ndarray:
     """Weights by hashed feature."""
     h, sent, doc = hashed(texts)
     feature, row = features(h, sent)
+    often = np.bincount(feature, minlength=1 << BITS)[feature] >= MIN_COUNT  # names are rarer
+    feature, row = feature[often], row[often]
     order = np.argsort(row, kind="stable")
     feature, row = feature[order], row[order]
     n = len(doc)
@@ -156,7 +162,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, batch: int = 256,
             rank = np.lexsort((-s, doc))
             top = np.zeros(n, bool)
             top[rank[np.r_[True, doc[rank][1:] != doc[rank][:-1]]]] = True
-            weight = np.where(bad, top.astype(float), 1.0)
+            weight = np.where(bad, top * BAD_WEIGHT, 1.0)
+            if epoch > 1 and (bad & top).any():  # some judgements are wrong: those far from what the model has learnt are left out
+                usual = float(np.median(s[bad & top]))
+                weight[bad & (s < usual / 4)] = 0
+                weight[~bad & (s > max(usual, 0.5))] = 0
         use = np.flatnonzero(weight > 0)
         for part in np.array_split(rng.permutation(use), max(1, len(use) // batch)):
             size = start[part + 1] - start[part]
