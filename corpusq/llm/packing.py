@@ -126,11 +126,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(items: DataFrame, counts: dict[str, int], salt: int, per_part: int) -> DataFrame:
-    """Items divided by hash into parts of about `per_part`, each packed."""
+    """Items divided by chance into parts of about `per_part`, each packed. They come from a written table, whose row
+    numbers are the same in every run, so repeated ids are divided too."""
     if not counts:
         return items.sparkSession.createDataFrame([], _STATE)
     parts = F.coalesce(*[F.when(F.col("spec_name") == s, F.lit(-(-n // per_part))) for s, n in counts.items()], F.lit(1))
-    spread = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), parts).cast("bigint"))
+    spread = items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), parts).cast("bigint"))
     return spread.repartition("spec_name", "part").sortWithinPartitions("spec_name", "part", "n_tokens", "doc_id", "piece").mapInArrow(_pack, _STATE)
 
 
