@@ -23,6 +23,8 @@ from corpusq.plans import cql
 
 #: Fixed value: the widest repetition.
 MAX_WIDTH = 100
+#: Positions of a bucket; more than the widest repetition.
+BUCKET = 128
 PLACE = ("doc_idx", "sent_idx", "comp", "sent_end", "doc_end")
 
 
@@ -166,7 +168,12 @@ class Compiler:
         first, rest = steps[0], steps[1:]
         front = self._first(first, rest, scope)
         width = 1 if first.single else None
-        for s in rest:
+        while rest:
+            s, rest = rest[0], rest[1:]
+            if s.any_token and not s.single and rest and rest[0].single and not rest[0].any_token:
+                front, width = self._once(self._leap(front, s, rest[0], scope)), None
+                rest = rest[1:]
+                continue
             front = self._extend(front, s, apart, width, scope)
             if not s.single:
                 front = self._once(front)
@@ -229,6 +236,20 @@ class Compiler:
             return longer
         return longer.union(self._captured(front, s, after))
 
+    def _leap(self, front: DataFrame, gap: Step, s: Step, scope: Column | None) -> DataFrame:
+        """A gap of any tokens and the step after it at once: the step's positions within reach are found by buckets of
+        positions, of which a gap touches two at most, instead of making every width of the gap."""
+        keep = front.columns
+        least, most = F.col("end_pos") + gap.least, F.least(F.col("end_pos") + gap.widest, F.col("doc_end") - 1)
+        bucket = lambda c: F.floor(c / BUCKET)
+        near = front.where(least <= most).withColumns({"__lo": least, "__hi": most}).withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__lo")), bucket(F.col("__hi")))))
+        at = self.positions(s.node, scope, lenient=True).select(F.col("pos").alias("__pos"), F.col("doc_idx").alias("__doc"), bucket(F.col("pos")).alias("__at"))
+        met = near.join(at, (F.col("__bucket") == F.col("__at")) & (F.col("doc_idx") == F.col("__doc")) & F.col("__pos").between(F.col("__lo"), F.col("__hi")))
+        if gap.label is not None:
+            met = met.withColumns({cap(gap.label, "start"): F.col("end_pos"), cap(gap.label, "end"): F.col("__pos")})
+            keep = [*keep, cap(gap.label, "start"), cap(gap.label, "end")]
+        return self._captured(met.withColumn("end_pos", F.col("__pos") + 1).select(*keep, "__pos"), s, F.col("__pos")).drop("__pos")
+
     def _once(self, front: DataFrame) -> DataFrame:
         """One row per span; of several captures the least."""
         caps = [c for c in front.columns if c.startswith("cap_")]
