@@ -32,7 +32,7 @@ BAD_WEIGHT = 3.0
 MIN_COUNT = 3
 #: Texts of one Arrow batch are taken in slices of about this many characters.
 SLICE_CHARS = 2_000_000
-_TOKEN = re.compile(r"\n|[.!?]+(?=[\s\"»”)]|$)|[^\s.!?,;:\"«»“”()\[\]…¿¡]+(?:\.(?=\w)[^\s.!?,;:\"«»“”()\[\]…¿¡]+)*")
+_TOKEN = re.compile(r"\n|[.!?]+(?=[\s\"»”)]|$)|[^\s.!?,;:\"«»“”()\[\]…¿¡]+(?:[.!](?=[\w@$])[^\s.!?,;:\"«»“”()\[\]…¿¡]+)*")
 _SPACED = re.compile(r"(?<!\w)\w(?:[ .\-_]\w){3,}(?!\w)")
 #: Digits and signs written for letters.
 _LEET = str.maketrans("013457@$!€", "oieastasie")
