@@ -128,14 +128,16 @@ _add("q_alignment_edges", lambda c: navigation.alignment_edges(c, "sentence"), "
 
 
 def _project_range(c: Corpus) -> DataFrame:
-    doc = c.alignment_edges.where("align_name = 'sentence'").agg(F.min("src_doc")).first()[0]
-    d = c.documents.where((F.col("comp") == "fr") & (F.col("doc_in_comp") == doc)).first()
+    linked = c.alignment_edges.where("align_name = 'sentence'").select(F.col("src_doc").alias("doc_in_comp"))
+    d = c.documents.where("comp = 'fr'").join(linked, "doc_in_comp", "left_semi").orderBy("doc_in_comp").first()
+    if d is None:
+        return c.sentences.limit(0).select("start_pos", "end_pos", "doc_idx", "sent_idx")
     return navigation.project_range(c, "sentence", d.doc_idx, d.start_pos + 3, d.start_pos + 60).select("start_pos", "end_pos", "doc_idx", "sent_idx")
 
 
 _add("q_project_range", _project_range, """SELECT DISTINCT ts.start_pos, ts.end_pos, ts.doc_idx, ts.sent_idx FROM d JOIN s ON s.doc_idx = d.doc_idx AND s.start_pos < d.start_pos + 60 AND s.end_pos > d.start_pos + 3
 JOIN alignment_edges e ON e.align_name = 'sentence' AND e.src_doc = d.doc_in_comp AND e.src_sent = s.sent_in_doc JOIN d td ON td.comp = 'en' AND td.doc_in_comp = e.tgt_doc JOIN s ts ON ts.doc_idx = td.doc_idx AND ts.sent_in_doc = e.tgt_sent
-WHERE d.comp = 'fr' AND d.doc_in_comp = (SELECT min(src_doc) FROM alignment_edges WHERE align_name = 'sentence')""")
+WHERE d.comp = 'fr' AND d.doc_in_comp = (SELECT min(src_doc) FROM alignment_edges WHERE align_name = 'sentence' AND src_doc IN (SELECT doc_in_comp FROM d WHERE comp = 'fr'))""")
 # text
 _ranges = lambda c: c.sentences.select(F.col("sent_idx").alias("k"), "start_pos", "end_pos")
 _GLUE = "CASE WHEN coalesce(no_space_after, false) THEN '' ELSE ' ' END"
