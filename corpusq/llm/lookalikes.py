@@ -30,8 +30,6 @@ LOOKS_LATIN = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y",
 }
 _TAGS = {"<wide>", "<narrow>", "<font>"}
-#: The typographic ligatures of the block of presentation forms.
-_LIGATURES = range(0xFB00, 0xFB07)
 _IGNORED_ALSO = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0}
 #: Characters of plain spellings; any other character, or a blank at an end, makes a string suspect.
 PLAIN = r"^(?:[!-~¡¿«»À-ÖØ-öø-ÿŒœ–—…](?:[ -~¡¿«»À-ÖØ-öø-ÿŒœ–—…]*[!-~¡¿«»À-ÖØ-öø-ÿŒœ–—…])?)?$"
@@ -46,8 +44,9 @@ def options(ch: str) -> tuple[str, ...]:
     if unicodedata.category(ch) in ("Zs", "Zl", "Zp") or ch in "\t\n\r\f\v\x85":
         return (" ",)
     tag, _, parts = unicodedata.decomposition(ch).partition(" ")
-    if tag in _TAGS or code in _LIGATURES:
-        flat = unicodedata.normalize("NFKD", ch)
+    flat = unicodedata.normalize("NFKD", ch)
+    fused = tag == "<compat>" and ch.isalpha() and " " in parts and all(unicodedata.category(x)[0] in "LM" for x in flat)
+    if tag in _TAGS or fused:
         looks = [LOOKS_LATIN.get(x, x) for x in flat]
         return tuple(dict.fromkeys(x for x in looks[0])) if len(flat) == 1 else (flat,)
     return tuple(LOOKS_LATIN.get(ch, ch))
