@@ -239,9 +239,9 @@ def repaired(whole: DataFrame, mixes: dict[str, dict], domains: list[str]) -> Da
         return whole
     chosen = F.broadcast(spark.createDataFrame(take, "mix_name string, domain string, n_tokens bigint, take bigint, by bigint"))  # at most a row per token of difference
     w = Window.partitionBy("mix_name", "domain", "n_tokens").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    changed = can.join(chosen, ["mix_name", "domain", "n_tokens"]).withColumn("nr", F.row_number().over(w)).where("nr <= take").select("mix_name", "domain", "n_tokens", F.col("doc_id").alias("changed"), "by")
+    changed = can.join(chosen, ["mix_name", "domain", "n_tokens"]).withColumn("nr", F.row_number().over(w)).where("nr <= take").select("mix_name", "domain", "n_tokens", F.col("doc_id").alias("changed"), "by", "cap")
     on = (F.col("w.mix_name") == F.col("c.mix_name")) & (F.col("w.domain") == F.col("c.domain")) & (F.col("w.n_tokens") == F.col("c.n_tokens")) & F.col("doc_id").eqNullSafe(F.col("changed"))
-    return whole.alias("w").join(changed.distinct().alias("c"), on, "left").select(*[F.col(f"w.{c}") for c in whole.columns if c != "uses"], (F.col("uses") + F.coalesce("by", F.lit(0))).alias("uses"))
+    return whole.alias("w").join(changed.distinct().alias("c"), on, "left").select(*[F.col(f"w.{c}") for c in whole.columns if c != "uses"], F.when(F.col("by").isNull(), F.col("uses")).otherwise(F.greatest(F.lit(0), F.least(F.col("uses") + F.col("by"), F.col("cap")))).alias("uses"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, dict[str, dict], list[str]]:

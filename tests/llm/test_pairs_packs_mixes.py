@@ -185,5 +185,7 @@ def test_mix(spark):
     p = model.posteriors([t for _, s, t in held if s in ("tales", "forum", "songs")])
     right = [domains[k] == s for k, s in zip(p.argmax(1), [s for _, s, _ in held if s in ("tales", "forum", "songs")], strict=True)]
     assert sum(right) > 0.95 * len(right)
+    again, *_ = mixing.mix(docs.unionByName(docs.where("doc_id < 300")).unionByName(docs.where("doc_id < 300").withColumn("doc_id", F.lit(None).cast("long"))), targets)
+    assert all(1 <= r.uses <= cap[r.mix_name, r.domain] for r in again.collect())
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0
     assert mixing.mix(docs, targets.limit(0))[0].count() == 0
