@@ -62,6 +62,21 @@ def test_alignment(spark, block):
     assert align.align_sentences(t, d.limit(0), m).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2, 7])
+def test_blocks_change_nothing(spark, block):
+    """Divided, joined and moved sentences, repeated ones, and merges over the edges of blocks."""
+    tok, docs, _ = bilingual(random.Random(8), 4, 30)
+    rng = random.Random(9)
+    tok = [x[:6] + ((None, "NOUN") if x[7] == "CCONJ" and rng.random() < 0.5 else x[6:]) for x in tok]  # joined without a tag
+    again = {x[3] for x in tok if x[4] in (4, 5)}
+    tok += [(x[0] + 10**6, x[1], x[2], x[3] + 10**5, x[4] + 40, *x[5:]) for x in tok if x[3] in again]
+    t = spark.createDataFrame(tok, TOK)
+    d = spark.createDataFrame(docs, "doc_idx int, doc_in_comp int, comp string, pair_key string")
+    m = spark.createDataFrame([("s", "es", "en")], "align_name string, source_component string, target_component string")
+    whole, cut = ({(r.sent_a, r.sent_b): round(r.similarity, 3) for r in align.align_sentences(t, d, m, n).collect()} for n in (1024, block))
+    assert len(whole) > 100 and cut == whole
+
+
 def test_hand_made(spark):
     d = spark.createDataFrame([(0, 0, "es", "P"), (1, 0, "en", "P"), (2, 1, "en", "Q")], "doc_idx int, doc_in_comp int, comp string, pair_key string")
     m = spark.createDataFrame([("s", "es", "en")], "align_name string, source_component string, target_component string")
