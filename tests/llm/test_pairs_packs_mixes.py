@@ -77,6 +77,20 @@ def test_blocks_change_nothing(spark, block):
     assert len(whole) > 100 and cut == whole
 
 
+def test_joined_without_conjunction():
+    """1:2 and 2:1, with and without one half that is found by its clause."""
+    words = [f"w{i}" for i in range(40)]
+    v, x = {w: i for i, w in enumerate(words)}, np.eye(40, dtype=np.float32)
+    model = (v, np.ones(40), x, v, np.ones(40), x)
+    sentence = lambda i, *parts: (i, i, [words[a:b] for a, b in parts])
+    two = [sentence(0, (0, 5)), sentence(1, (5, 10)), sentence(2, (20, 24)), sentence(3, (30, 32))]
+    for n in (4, 5, 7):
+        one = [sentence(10, (0, 10)), sentence(12, (20, 24))]
+        two[:2] = sentence(0, (0, n)), sentence(1, (n, 10))
+        assert set(align.match(one, two, model)) == {(0, 0), (0, 1), (1, 2)}
+        assert set(align.match(two, one, model)) == {(0, 0), (1, 0), (2, 1)}
+
+
 def test_hand_made(spark):
     d = spark.createDataFrame([(0, 0, "es", "P"), (1, 0, "en", "P"), (2, 1, "en", "Q")], "doc_idx int, doc_in_comp int, comp string, pair_key string")
     m = spark.createDataFrame([("s", "es", "en")], "align_name string, source_component string, target_component string")
