@@ -91,6 +91,18 @@ def test_joined_without_conjunction():
         assert set(align.match(two, one, model)) == {(0, 0), (1, 0), (2, 1)}
 
 
+def test_terms_beyond_the_cap(spark, monkeypatch):
+    """Sentences of rare lemmas that are equal in both languages, cut or not."""
+    rare = [[f"rare{4 * i + k}" for k in range(4)] for i in range(9)]
+    tok = [(100 * i + k + 10_000 * side, comp, side, i + 20 * side, i, w, w, "NOUN") for side, comp in enumerate(("es", "en")) for i, ws in enumerate(rare) for k, w in enumerate(["el" if side == 0 else "it", *ws])]
+    t = spark.createDataFrame(tok, TOK)
+    d = spark.createDataFrame([(0, 0, "es", "P"), (1, 0, "en", "P")], "doc_idx int, doc_in_comp int, comp string, pair_key string")
+    m = spark.createDataFrame([("s", "es", "en")], "align_name string, source_component string, target_component string")
+    monkeypatch.setattr(align, "MAX_TERMS", 1)
+    for block in (1024, 4):
+        assert {(r.sent_a, r.sent_b) for r in align.align_sentences(t, d, m, block).collect()} == {(i, i + 20) for i in range(9)}
+
+
 def test_hand_made(spark):
     d = spark.createDataFrame([(0, 0, "es", "P"), (1, 0, "en", "P"), (2, 1, "en", "Q")], "doc_idx int, doc_in_comp int, comp string, pair_key string")
     m = spark.createDataFrame([("s", "es", "en")], "align_name string, source_component string, target_component string")
