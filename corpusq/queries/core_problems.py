@@ -83,6 +83,14 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eager_join_aggregate(a, b, ["word"], by_left=["upos"], by_right=["upos_es"]).withColumnRenamed("n_rows", "n_pairs")
 
 
+def p3_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per two components and tags: how many pairs of positions a join of each component with all others on word has."""
+    t = tokens(spark, sf_dir, "comp", "word", "upos")
+    other = t.select("word", F.col("comp").alias("other_comp"), F.col("upos").alias("other_upos"))
+    pairs = eager_join_aggregate(t, other, ["word"], by_left=["comp", "upos"], by_right=["other_comp", "other_upos"])
+    return pairs.where("comp <> other_comp").withColumnRenamed("n_rows", "n_pairs")
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "raw_rows").where("line_no IS NULL OR line_no <> 1")  # line 1 is a heading
     return split_lines(lines, "line", TOKEN_LINES)
@@ -109,7 +117,7 @@ _BELOW = """below AS (
   UNION ALL
   SELECT b.sent_idx, l.up, b.below_tok, b.distance + 1 FROM below b JOIN link l ON b.sent_idx = l.sent_idx AND b.tok = l.tok WHERE l.up IS NOT NULL)"""
 
-QUERIES = {"p2_found": p2_found, "p2_tree": p2_tree, "p2_below": p2_below, "p3_found": p3_found, "p3_terms": p3_terms, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_tokens": p4_tokens}
+QUERIES = {"p2_found": p2_found, "p2_tree": p2_tree, "p2_below": p2_below, "p3_found": p3_found, "p3_terms": p3_terms, "p3_pairs": p3_pairs, "p3_all_pairs": p3_all_pairs, "p4_found": p4_found, "p4_tokens": p4_tokens}
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
 _LINES = rf"""WITH lines AS (SELECT raw_id, coalesce(line, '') AS line FROM raw_rows WHERE line_no IS NULL OR line_no <> 1),
@@ -134,4 +142,6 @@ SELECT layer, term FROM t WHERE term IS NOT NULL GROUP BY layer, term HAVING cou
 SELECT layer, term, lang, count(*) AS n_positions, CAST(count(*) FILTER (no_space_after) AS BIGINT) AS n_glued FROM t WHERE term IS NOT NULL GROUP BY ALL""",
     "p3_pairs": f"""WITH valid AS (SELECT * FROM {_VALID}), a AS (SELECT word, upos, count(*) AS n FROM valid WHERE comp = 'fr' GROUP BY ALL), b AS (SELECT word, upos AS upos_es, count(*) AS n FROM valid WHERE comp = 'es' GROUP BY ALL)
 SELECT upos, upos_es, CAST(sum(a.n * b.n) AS BIGINT) AS n_pairs FROM a JOIN b USING (word) GROUP BY ALL""",
+    "p3_all_pairs": f"""WITH valid AS (SELECT * FROM {_VALID}), a AS (SELECT comp, word, upos, count(*) AS n FROM valid GROUP BY ALL)
+SELECT a.comp, a.upos, b.comp AS other_comp, b.upos AS other_upos, CAST(sum(a.n * b.n) AS BIGINT) AS n_pairs FROM a JOIN a b ON a.word = b.word AND a.comp <> b.comp GROUP BY ALL""",
 }

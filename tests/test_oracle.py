@@ -22,3 +22,11 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, name):
     same(spark, QUERIES[name], db, SQL[name])
+
+
+def test_pairs_of_all_components(spark):
+    got = core_problems.QUERIES["p3_all_pairs"](spark, DATA).collect()
+    comps = {r.comp for r in core_problems.table(spark, DATA, "components").collect()}
+    assert {(r.comp, r.other_comp) for r in got} == {(a, b) for a in comps for b in comps if a != b}
+    some = {(r.upos, r.other_upos, r.n_pairs) for r in got if (r.comp, r.other_comp) == ("fr", "es")}
+    assert some == {tuple(r) for r in core_problems.p3_pairs(spark, DATA).select("upos", "upos_es", "n_pairs").collect()}
