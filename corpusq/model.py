@@ -69,10 +69,19 @@ def feature(key: str) -> Column:
     return F.substr(F.try_element_at(own, F.lit(1)), F.lit(len(key) + 2))
 
 
-def from_deliveries(spark: SparkSession, directory: str, features: tuple[str, ...] = (), block: int = 4096) -> Corpus:
+def feature_keys(tokens: DataFrame) -> tuple[str, ...]:
+    """The keys of key=value pairs in feats, a few dozen names."""
+    pairs = F.filter(F.split("feats", r"\|"), lambda x: x.contains("="))
+    found = tokens.select("feats").distinct().select(F.explode(F.transform(pairs, lambda x: F.split(x, "=", 2)[0])).alias("k")).distinct()
+    return tuple(sorted(r.k for r in found.collect()))
+
+
+def from_deliveries(spark: SparkSession, directory: str, features: tuple[str, ...] | None = (), block: int = 4096) -> Corpus:
     """A corpus over tables with repeated deliveries (the latest is valid), read lazily and column by column. `features` are
-    the keys in feats that get a layer of their own."""
+    the keys in feats that get a layer of their own; None: all that any delivery has."""
     read = lambda name: spark.read.parquet(f"{directory}/{name}.parquet")
+    if features is None:
+        features = feature_keys(read("tokens"))
     raw = read("tokens").withColumns({f"feats.{k}": feature(k) for k in features})
 
     def tokens_of(columns: tuple[str, ...]) -> DataFrame:

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.model import Corpus, from_deliveries
+from corpusq.model import CORE_LAYERS, Corpus, from_deliveries
 from corpusq.operators import counts, navigation, text
 from corpusq.operators.paging import page, ranked
 from corpusq.plans.compiler import Options, captures, run
 from corpusq.sources.build import assemble
 from corpusq.sources.readers import ConlluReader, PlainTextReader
 
+#: Keys of feats that the SQL of q_distinct_counts has; the corpus has a layer for every key.
 FEATURES = ("Number", "Tense")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,7 +28,7 @@ OPEN: dict[str, Corpus] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return OPEN.get(sf_dir) or from_deliveries(spark, sf_dir, FEATURES)
+    return OPEN.get(sf_dir) or from_deliveries(spark, sf_dir, None)
 
 
 def _add(name: str, query: Callable[[Corpus], DataFrame], sql: str | None = None, more: str = "") -> None:
@@ -63,6 +64,7 @@ _cql("q_negation", '[pos!="PUNCT"]', f"{_S} WHERE upos IS DISTINCT FROM 'PUNCT'"
 _cql("q_conjunction", '[pos="NOUN" & lemma!="garden" & xpos=/^NNS$/ & deprel!=/^ob/]', f"{_S} WHERE upos = 'NOUN' AND lemma IS DISTINCT FROM 'garden' AND xpos = 'NNS' AND NOT coalesce(regexp_matches(deprel, '^ob'), false)")
 _cql("q_feature_layer", '[feats.Number="Plur" & feats.Tense!="Past"] [feats.Tense="Past"]', """SELECT a.pos AS start_pos, a.pos + 2 AS end_pos FROM t a JOIN t b ON b.pos = a.pos + 1
 WHERE list_contains(string_split(a.feats, '|'), 'Number=Plur') AND NOT coalesce(list_contains(string_split(a.feats, '|'), 'Tense=Past'), false) AND list_contains(string_split(b.feats, '|'), 'Tense=Past')""")
+_cql("q_feature_gender", '[feats.Gender="Fem"]', f"{_S} WHERE list_contains(string_split(feats, '|'), 'Gender=Fem')")
 _cql("q_unindexed_layer", '[head="1"] | [deps!="x" & lemma="garden"]', f"{_S} WHERE lemma = 'garden'")
 # sequences
 _cql("q_sequence", '[pos="ADJ"] [pos="NOUN"]', f"SELECT {_ONE}, a.pos + 2 AS end_pos FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.{_ADJ} AND b.{_NOUN}")
@@ -112,7 +114,10 @@ _add("q_count_by_component", lambda c: counts.count_by_component(c, '[pos="PUNCT
 _add("q_vocabulary", lambda c: counts.vocabulary(c, "lemma", "fr"), "SELECT DISTINCT lemma AS value FROM t WHERE lemma IS NOT NULL AND comp = 'fr'")
 _add("q_value_counts", lambda c: counts.value_counts(c, "lemma"), "SELECT lemma AS value, count(*) AS n FROM t WHERE lemma IS NOT NULL GROUP BY 1")
 _add("q_value_count", lambda c: _one(c, counts.value_count(c, "word", "garden")), "SELECT count(*) AS n FROM t WHERE word = 'garden'")
-_add("q_distinct_counts", lambda c: counts.distinct_counts(c), " UNION ALL ".join(f"SELECT '{x}' AS layer, CAST(0 AS BIGINT) AS n" if x in ("head", "deps") else f"SELECT '{x}' AS layer, count(DISTINCT {x}) AS n FROM t" for x in ("word", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps")) + " UNION ALL " + " UNION ALL ".join(f"SELECT 'feats.{k}', count(DISTINCT nullif(regexp_extract(feats, '(^|[|]){k}=([^|]*)', 2), '')) FROM t" for k in FEATURES))
+_two = [*CORE_LAYERS, *(f"feats.{k}" for k in FEATURES)]
+_add("q_distinct_counts", lambda c: counts.distinct_counts(c).where(F.col("layer").isin(_two)), " UNION ALL ".join(f"SELECT '{x}' AS layer, CAST(0 AS BIGINT) AS n" if x in ("head", "deps") else f"SELECT '{x}' AS layer, count(DISTINCT {x}) AS n FROM t" for x in ("word", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps")) + " UNION ALL " + " UNION ALL ".join(f"SELECT 'feats.{k}', count(DISTINCT nullif(regexp_extract(feats, '(^|[|]){k}=([^|]*)', 2), '')) FROM t" for k in FEATURES))
+# a key that only deliveries no longer valid have is none of the corpus
+_add("q_distinct_counts_all", lambda c: counts.distinct_counts(c).where("n > 0 OR NOT startswith(layer, 'feats.')"), " UNION ALL ".join(f"SELECT '{x}' AS layer, CAST(0 AS BIGINT) AS n" if x in ("head", "deps") else f"SELECT '{x}' AS layer, count(DISTINCT {x}) AS n FROM t" for x in CORE_LAYERS) + " UNION ALL SELECT 'feats.' || split_part(kv, '=', 1), count(DISTINCT substr(kv, strpos(kv, '=') + 1)) FROM (SELECT unnest(string_split(feats, '|')) AS kv FROM t) WHERE contains(kv, '=') GROUP BY 1")
 _add("q_component_tokens", counts.component_tokens, "SELECT c.comp, coalesce(max(d.end_pos) - min(d.start_pos), 0) AS n FROM components c LEFT JOIN d USING (comp) GROUP BY 1")
 _add("q_spans_in_range", lambda c: _one(c, counts.spans_starting_in(c, "sentence", 500, 5000)), "SELECT count(*) AS n FROM s WHERE start_pos >= 500 AND start_pos < 5000")
 _add("q_sentence_counts", counts.sentence_counts, "SELECT d.doc_idx, d.comp, d.doc_name, (SELECT count(*) FROM s WHERE s.doc_idx = d.doc_idx) AS n FROM d")

@@ -30,3 +30,9 @@ def test_pairs_of_all_components(spark):
     assert {(r.comp, r.other_comp) for r in got} == {(a, b) for a in comps for b in comps if a != b}
     some = {(r.upos, r.other_upos, r.n_pairs) for r in got if (r.comp, r.other_comp) == ("fr", "es")}
     assert some == {tuple(r) for r in core_problems.p3_pairs(spark, DATA).select("upos", "upos_es", "n_pairs").collect()}
+
+
+def test_every_key_of_feats_has_a_layer(spark):
+    layers = {r.layer for r in QUERIES["q_distinct_counts_all"](spark, DATA).collect()}
+    assert {f"feats.{k}" for k in ("Number", "Tense", "Gender", "Person", "Mood")} <= layers
+    assert QUERIES["q_feature_gender"](spark, DATA).count() > 0
