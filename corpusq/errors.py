@@ -1,4 +1,4 @@
-"""Errors, with the codes of the session interface."""
+"""Errors. Their codes are those of the session interface."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ class UnknownLabel(CorpusError):
     code = 1101
 
     def __init__(self, label: str):
-        super().__init__(f"Unknown label '{label}'")
+        super().__init__(f"no label {label} in the query")
         self.label = label
 
 

@@ -88,26 +88,21 @@ class Compiler:
         self.base = corpus.tokens(*PLACE, *[x for x in layers if x not in PLACE])
         self.runs_of: dict[tuple, DataFrame] = {}
 
-    def test(self, t: cql.Test, lenient: bool) -> Column:
+    def test(self, t: cql.Test) -> Column:
         if t.layer not in self.corpus.indexed_layers:
             match = F.lit(False)
         elif t.regex:
-            try:
-                match = F.coalesce(F.col(f"`{t.layer}`").rlike(checked(self.corpus.spark, t.value)), F.lit(False))
-            except ExecutionError:
-                if not lenient:
-                    raise
-                return F.lit(None).cast("boolean")  # marks the whole step as matching nothing
+            match = F.coalesce(F.col(f"`{t.layer}`").rlike(checked(self.corpus.spark, t.value)), F.lit(False))
         else:
             match = F.col(f"`{t.layer}`").eqNullSafe(t.value)
         return match if t.equal else ~match
 
-    def predicate(self, node: cql.Node, lenient: bool = False) -> Column | None:
+    def predicate(self, node: cql.Node) -> Column | None:
         """The node as a condition on one token, if its hits are those single tokens or only their starts count."""
         if isinstance(node, cql.Token):
-            return reduce(Column.__and__, [self.test(t, lenient) for t in node.tests], F.lit(True))
+            return reduce(Column.__and__, [self.test(t) for t in node.tests], F.lit(True))
         if isinstance(node, cql.Alternatives):
-            parts = [self.predicate(o.inner if isinstance(o, cql.Label) else o, lenient) for o in node.options]
+            parts = [self.predicate(o.inner if isinstance(o, cql.Label) else o) for o in node.options]
             return None if any(p is None for p in parts) else reduce(Column.__or__, parts)
         return None
 
@@ -115,21 +110,24 @@ class Compiler:
         return self.base if scope is None else self.base.where(scope)
 
     def positions(self, node: cql.Node, scope: Column | None = None, lenient: bool = False) -> DataFrame:
-        """pos and place of the tokens at which hits of the node start. `scope` limits the tokens read; not within groups."""
-        p = self.predicate(node, lenient)
-        if p is not None:
-            t = self.scoped(scope)
-            return (t if node == cql.Token() else t.where(p)).select("pos", *PLACE)
-        if isinstance(node, cql.Alternatives):
-            parts = [self.positions(o, lenient=lenient) for o in node.options]
-            return reduce(DataFrame.union, parts).distinct()
+        """pos and place of the tokens at which hits of the node start. `scope` limits the tokens read; not within groups.
+        `lenient`: a faulty expression anywhere in the node makes it match nothing."""
         try:
-            return self.hits(node).select(F.col("start_pos").alias("pos"), *PLACE).distinct()
+            return self._positions(node, scope)
         except ExecutionError:
             if lenient:
                 return self.base.limit(0).select("pos", *PLACE)
             raise
 
+    def _positions(self, node: cql.Node, scope: Column | None) -> DataFrame:
+        p = self.predicate(node)
+        if p is not None:
+            t = self.scoped(scope)
+            return (t if node == cql.Token() else t.where(p)).select("pos", *PLACE)
+        if isinstance(node, cql.Alternatives):
+            return reduce(DataFrame.union, [self._positions(o, None) for o in node.options]).distinct()
+        return self.hits(node).select(F.col("start_pos").alias("pos"), *PLACE).distinct()
+
     def hits(self, node: cql.Node, scope: Column | None = None) -> DataFrame:
         if isinstance(node, (cql.Token, cql.Alternatives)):
             return self.positions(node, scope).select(F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), *PLACE)
@@ -303,12 +301,12 @@ class Compiler:
 def need_alignment(corpus: Corpus, name: str) -> dict:
     rows = corpus.alignment_meta.where(F.col("align_name") == name).limit(1).collect()
     if not rows:
-        raise UnknownAlignment(f"Alignment not found: {name}")
+        raise UnknownAlignment(f"no alignment {name}")
     meta = rows[0].asDict()
     known = {r.comp for r in corpus.components.where(F.col("comp").isin(meta["source_component"], meta["target_component"])).select("comp").collect()}
     for side in ("source", "target"):
         if meta[f"{side}_component"] not in known:
-            raise ExecutionError(f"{side.capitalize()} component not found: {meta[f'{side}_component']}")
+            raise ExecutionError(f"{side} component of {name} isn't in the corpus: {meta[f'{side}_component']}")
     return meta
 
 

@@ -12,11 +12,11 @@ def out(spark, folder, tmp_path_factory):  # noqa: F811
 
 
 CASES = [
-    (["count", "C", '[pos="NOUN"]'], ["6"]), (["count", "C", '[pos="NOUN"]', "--component", "fr"], ["3"]), (["count", "C", '[pos="NOUN"]', "--document", "le_chat"], ["1"]), (["query", "C", "a:[] :: a.lemma = a.lemma", "--component", "fr", "--count-only"], ["16"]),
-    (["count", "C", '[pos="NOUN"]', "--by", "document"], ["en\tthe_cat.conllu\t1", "en\tthe_house.conllu\t2", "fr\tla_maison.conllu\t2", "fr\tle_chat.conllu\t1"]),
-    (["count", "C", '[pos="NOUN"]', "--by", "component"], ["en\t3", "fr\t3"]), (["query", "C", '[lemma="cat"]'], ["the_cat.conllu\t1\tthe >>> cat <<< sleeps . it eats ."]),
-    (["query", "C", '[pos="VERB"]', "--limit", "1"], ["the_cat.conllu\t2\tthe cat >>> sleeps <<< . it eats . the"]), (["vocab", "C", "pos", "--document", "le_chat"], ["DET", "NOUN", "PRON", "PUNCT", "VERB"]),
-    (["docs", "C", "--component", "fr"], ["fr\tla_maison.conllu", "fr\tle_chat.conllu"]), (["components", "C"], ["en\t", "fr\tfr"]), (["layers", "C"], ["word", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps"]),
+    (["count", "C", '[pos="NOUN"]'], ["6"]), (["count", "C", '[pos="NOUN"]', "--component", "fr"], ["3"]), (["count", "C", '[pos="NOUN"]', "--document", "phare"], ["1"]), (["query", "C", "a:[] :: a.lemma = a.lemma", "--component", "fr", "--count-only"], ["16"]),
+    (["count", "C", '[pos="NOUN"]', "--by", "document"], ["en\tharbour.conllu\t1", "en\torchard.conllu\t2", "fr\tmoulin.conllu\t2", "fr\tphare.conllu\t1"]),
+    (["count", "C", '[pos="NOUN"]', "--by", "component"], ["en\t3", "fr\t3"]), (["query", "C", '[lemma="wind"]'], ["harbour.conllu\t1\tthe >>> wind <<< sleeps . it returns ."]),
+    (["query", "C", '[pos="VERB"]', "--limit", "1"], ["harbour.conllu\t2\tthe wind >>> sleeps <<< . it returns . the"]), (["vocab", "C", "pos", "--document", "phare"], ["DET", "NOUN", "PRON", "PUNCT", "VERB"]),
+    (["docs", "C", "--component", "fr"], ["fr\tmoulin.conllu", "fr\tphare.conllu"]), (["components", "C"], ["en\t", "fr\tfr"]), (["layers", "C"], ["word", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps"]),
 ]
 
 
