@@ -19,7 +19,7 @@ PLACE = ("doc_idx", "doc_in_comp", "sent_idx", "sent_in_doc", "tok_in_sent", "co
 NO_MWT = "start_pos bigint, end_pos bigint, form string, no_space_after boolean"
 NO_EMPTY = "sent_idx int, node_id string, form string, lemma string, upos string, xpos string, feats string, deps string, misc string"
 NO_META = "align_name string, source_component string, target_component string, edges string, source_layer string, target_layer string, directed boolean"
-NO_EDGES = "align_name string, src_doc int, src_sent int, tgt_doc int, tgt_sent int"
+NO_EDGES = "align_name string, src_doc int, src_sent int, tgt_doc int, tgt_sent int, edge_no bigint"
 
 
 @dataclass
@@ -93,5 +93,5 @@ def from_deliveries(spark: SparkSession, directory: str, features: tuple[str, ..
         latest_valid(read("corpus_docs").select("doc_idx", "doc_in_comp", "comp", "doc_name", "start_pos", "end_pos", "ingested_at"), "doc_idx").drop("ingested_at"),
         read("components"),
         read("alignment_meta").withColumns({"source_layer": F.coalesce("source_layer", F.lit("sentence")), "target_layer": F.coalesce("target_layer", F.lit("sentence")), "directed": F.coalesce("directed", F.lit(True))}),
-        read("alignment_edges"), _empty(spark, NO_MWT), _empty(spark, NO_EMPTY), directory,
+        read("alignment_edges").withColumn("edge_no", F.lit(None).cast("bigint")), _empty(spark, NO_MWT), _empty(spark, NO_EMPTY), directory,
     )

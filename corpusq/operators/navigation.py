@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusq.errors import Ambiguous, BadRange, NotFound, OutsideSource
@@ -146,7 +146,7 @@ def alignments(corpus: Corpus) -> DataFrame:
 
 def alignment_edges(corpus: Corpus, name: str) -> DataFrame:
     need_alignment(corpus, name)
-    return corpus.alignment_edges.where(F.col("align_name") == name)
+    return corpus.alignment_edges.where(F.col("align_name") == name).drop("edge_no")
 
 
 def alignment_coverage(corpus: Corpus, name: str) -> DataFrame:
@@ -178,13 +178,15 @@ def project_hits(corpus: Corpus, hits: DataFrame, name: str) -> tuple[DataFrame,
 
 
 def project_range(corpus: Corpus, name: str, doc_idx: int, start: int, end: int) -> DataFrame:
-    """Target sentences of every source sentence of a document that overlaps [start, end), in the order of source
-    sentences, each once; nr gives that order."""
+    """Target sentences of every source sentence of a document that overlaps [start, end), each once, in the order of
+    source sentences and then of edges; nr counts them in that order. Edges that came without an order count by target."""
     meta = need_alignment(corpus, name)
     own = corpus.documents.where((F.col("doc_idx") == doc_idx) & (F.col("comp") == meta["source_component"])).select("doc_idx", F.col("doc_in_comp").alias("src_doc"))
     if not own.limit(1).count():
         raise OutsideSource(f"document {doc_idx} is not in {meta['source_component']}")
     sents = corpus.sentences.where((F.col("start_pos") < end) & (F.col("end_pos") > start)).select("doc_idx", F.col("sent_in_doc").alias("src_sent"))
     edges = corpus.alignment_edges.where(F.col("align_name") == name)
-    found = sents.join(own, "doc_idx").drop("doc_idx").join(edges, ["src_doc", "src_sent"]).groupBy("tgt_doc", "tgt_sent").agg(F.min("src_sent").alias("nr"))
-    return resolve_targets(corpus, found, meta).orderBy("nr", "start_pos")
+    place = F.struct("src_sent", "edge_no", "tgt_doc", "tgt_sent")
+    found = sents.join(own, "doc_idx").drop("doc_idx").join(edges, ["src_doc", "src_sent"]).groupBy("tgt_doc", "tgt_sent").agg(F.min(place).alias("place"))
+    targets = resolve_targets(corpus, found, meta)
+    return targets.withColumn("nr", F.row_number().over(Window.orderBy("place")) - 1).drop("place").orderBy("nr")  # the targets of one range

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.errors import AlreadyMaterialized, CorpusError, CouplerCycle, IncompatibleCoupler, NameInUse, PageTooLarge, StaleQuery, UnknownClient, UnknownCoupler, UnknownHandle, UnknownName, UnknownTopic, UnsupportedCoupler
+from corpusq.functions import files
 from corpusq.functions.storage import written
 from corpusq.model import Corpus
 from corpusq.operators import navigation
@@ -39,13 +38,12 @@ class Results:
     and count in a file that is replaced as a whole, and run again when asked for in a later session."""
 
     def __init__(self, corpus: Corpus, state_dir: str | None = None):
-        self.corpus, self.file = corpus, state_dir and os.path.join(state_dir, "named_results.jsonl")
+        self.corpus, self.file = corpus, state_dir and files.join(state_dir, "named_results.jsonl")
         self.results: dict[str, Result] = {}
         self.named: dict[str, dict] = {}
         self.on_change: list[Callable[[str, str], None]] = []
-        if self.file and os.path.exists(self.file):
-            with open(self.file, encoding="utf-8") as f:
-                self.named = {r["name"]: r for r in map(json.loads, f)}
+        if self.file and files.exists(corpus.spark, self.file):
+            self.named = {r["name"]: r for r in map(json.loads, files.read_text(corpus.spark, self.file).splitlines())}
 
     def execute(self, query: str, handle: str | None = None) -> Result:
         hits = written(ranked(run(self.corpus, query)), "result")
@@ -123,13 +121,8 @@ class Results:
 
     def _keep(self, named: dict[str, dict]) -> None:
         if self.file:
-            folder = os.path.dirname(self.file)
-            os.makedirs(folder, exist_ok=True)
-            with tempfile.NamedTemporaryFile("w", dir=folder, delete=False, encoding="utf-8") as f:
-                f.writelines(json.dumps(r) + "\n" for r in named.values())
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(f.name, self.file)
+            files.make_dir(self.corpus.spark, files.parent(self.file))
+            files.write_text(self.corpus.spark, self.file, "".join(json.dumps(r) + "\n" for r in named.values()))
         self.named = named
 
     def _tell(self, event: str, name: str) -> None:

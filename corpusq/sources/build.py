@@ -5,12 +5,12 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusq.errors import CorpusError, FormatError
+from corpusq.functions import files
 from corpusq.functions.ordering import running_offsets
 from corpusq.functions.storage import written
 from corpusq.model import CORE_LAYERS, NO_EDGES, NO_META, Corpus, feature
@@ -45,19 +45,19 @@ class Manifest:
     components: dict[str, dict[str, str]]  # name -> path, language
     alignments: list[Alignment] = field(default_factory=list)
     decompose_feats: bool = False
-    base: Path = Path(".")
+    base: str = "."
 
 
-def read_manifest(path: str) -> Manifest:
+def read_manifest(spark: SparkSession, path: str) -> Manifest:
     """[corpus] name, decompose_feats; [components.X] path, language; [alignments.N] source, target, edges, source_layer,
     target_layer, directed. Paths are relative to the manifest's folder."""
     try:
-        data = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+        data = tomllib.loads(files.read_text(spark, path))
         corpus = data["corpus"]
         comps = {k: {"path": v["path"], "language": v.get("language")} for k, v in data.get("components", {}).items()}
         aligned = [Alignment(k, v["source"], v["target"], v["edges"], v.get("source_layer", "sentence"), v.get("target_layer", "sentence"), v.get("directed", True)) for k, v in sorted(data.get("alignments", {}).items())]
-        return Manifest(corpus["name"], comps, aligned, corpus.get("decompose_feats", False), Path(path).resolve().parent)
-    except (KeyError, TypeError, tomllib.TOMLDecodeError) as e:
+        return Manifest(corpus["name"], comps, aligned, corpus.get("decompose_feats", False), files.parent(path))
+    except (KeyError, TypeError, UnicodeDecodeError, tomllib.TOMLDecodeError) as e:
         raise FormatError(f"{path}: {e!r}") from e
 
 
@@ -111,37 +111,39 @@ def assemble(spark: SparkSession, name: str, parsed: list[tuple[str | None, Pars
 def build_directory(spark: SparkSession, path: str, name: str | None = None, strict: bool = False, decompose: bool = False, reader: CorpusReader | None = None) -> Corpus:
     """All files below a folder, without components."""
     parsed = (reader or ConlluReader()).read(spark, path, strict)
-    return assemble(spark, name or Path(path).name, [(None, parsed)], decompose=decompose)
+    return assemble(spark, name or path.rstrip("/").rpartition("/")[2], [(None, parsed)], decompose=decompose)
 
 
 def build_manifest(spark: SparkSession, path: str, strict: bool = False, reader: CorpusReader | None = None) -> Corpus:
-    m = read_manifest(path)
+    m = read_manifest(spark, path)
     for a in m.alignments:
         for side in (a.source, a.target):
             if side not in m.components:
                 raise CorpusError(f"alignment {a.name}: unknown component {side}")
     names = sorted(m.components)
-    parsed = [(c, (reader or ConlluReader()).read(spark, str(m.base / m.components[c]["path"]), strict)) for c in names]
+    parsed = [(c, (reader or ConlluReader()).read(spark, files.resolve(m.base, m.components[c]["path"]), strict)) for c in names]
     corpus = assemble(spark, m.name, parsed, [(c, m.components[c]["path"], m.components[c]["language"]) for c in names], m.decompose_feats)
     if m.alignments:
         corpus.alignment_meta = spark.createDataFrame([(a.name, a.source, a.target, a.edges, a.source_layer, a.target_layer, a.directed) for a in m.alignments], NO_META)
-        corpus.alignment_edges = reduce(DataFrame.unionByName, [read_edges(corpus, a, m.base / a.edges, strict) for a in m.alignments])
+        corpus.alignment_edges = reduce(DataFrame.unionByName, [read_edges(corpus, a, files.resolve(m.base, a.edges), strict) for a in m.alignments])
     return corpus
 
 
-def read_edges(corpus: Corpus, a: Alignment, path: Path, strict: bool = False) -> DataFrame:
+def read_edges(corpus: Corpus, a: Alignment, path: str, strict: bool = False) -> DataFrame:
     """Edges of one file or of all *.tsv in a folder: source document, its sentence, target document, its sentence.
 
     Blank lines and comments don't count. Short lines and unknown documents are left out or, with `strict`, an error; a sentence
-    number that is none is always one. Repeated edges are kept.
+    number that is none is always one. Repeated edges are kept; edge_no is their order, over all files.
     """
-    files = sorted(path.glob("*.tsv")) if path.is_dir() else [path]
-    if not files:
-        return corpus.spark.createDataFrame([], NO_EDGES)
-    lines = corpus.spark.read.text([str(f) for f in files]).where("trim(value) <> '' AND NOT startswith(trim(value), '#')")
-    f = lines.select("value", F.split("value", "\t").alias("f"))
+    spark = corpus.spark
+    paths = files.children(spark, path, "*.tsv") if files.is_dir(spark, path) else [path]
+    if not paths:
+        return spark.createDataFrame([], NO_EDGES)
+    read = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = running_offsets(read.where("trim(value) <> '' AND NOT startswith(trim(value), '#')"), ["file", "block", "row"], {"edge_no": None})
+    f = lines.select("value", "edge_no", F.split("value", "\t").alias("f"))
     cells = [F.trim(F.get("f", F.lit(i))) for i in range(4)]
-    rows = f.where(F.size("f") >= 4).select("value", cells[0].alias("src_name"), F.expr("try_cast(trim(f[1]) AS INT)").alias("src_sent"), cells[2].alias("tgt_name"), F.expr("try_cast(trim(f[3]) AS INT)").alias("tgt_sent"))
+    rows = f.where(F.size("f") >= 4).select("value", "edge_no", cells[0].alias("src_name"), F.expr("try_cast(trim(f[1]) AS INT)").alias("src_sent"), cells[2].alias("tgt_name"), F.expr("try_cast(trim(f[3]) AS INT)").alias("tgt_sent"))
     docs = corpus.documents.select("comp", "doc_name", "doc_in_comp")
     src = docs.where(F.col("comp") == a.source).select(F.col("doc_name").alias("src_name"), F.col("doc_in_comp").alias("src_doc"))
     tgt = docs.where(F.col("comp") == a.target).select(F.col("doc_name").alias("tgt_name"), F.col("doc_in_comp").alias("tgt_doc"))
@@ -153,7 +155,7 @@ def read_edges(corpus: Corpus, a: Alignment, path: Path, strict: bool = False) -
         short = f.where(F.size("f") < 4).select("value").limit(1).collect() or joined.where("src_doc IS NULL OR tgt_doc IS NULL").select("value").limit(1).collect()
         if short:
             raise FormatError(f"{a.name}: {short[0].value}")
-    return joined.where("src_doc IS NOT NULL AND tgt_doc IS NOT NULL").select(F.lit(a.name).alias("align_name"), "src_doc", "src_sent", "tgt_doc", "tgt_sent")
+    return joined.where("src_doc IS NOT NULL AND tgt_doc IS NOT NULL").select(F.lit(a.name).alias("align_name"), "src_doc", "src_sent", "tgt_doc", "tgt_sent", "edge_no")
 
 
 class CorpusBuilder:

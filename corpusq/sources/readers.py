@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.errors import FormatError
@@ -26,6 +26,11 @@ class CorpusReader(Protocol):
     def read(self, spark: SparkSession, path: str, strict: bool = False) -> Parsed: ...
 
 
+def trimmed(x: Column) -> Column:
+    """Without white space at the ends, tabs included: a row that ends in empty columns is shorter for it."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def _blocks(files: DataFrame) -> DataFrame:
     """file, sent_no, lines: blocks of lines between blank lines. files: file, value."""
     text = F.regexp_replace(F.col("value"), "\r\n", "\n")
@@ -48,17 +53,19 @@ class ConlluReader:
     def parse(self, files: DataFrame, strict: bool = False) -> Parsed:
         if strict:
             _first_fault(files)
-        blocks = _blocks(files)
-        data = F.filter("lines", lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
-        ids = F.filter("lines", lambda x: x.rlike(r"^\s*#\s*sent_id\s*="))
-        sentences = blocks.select("file", "sent_no", data.alias("data"), F.trim(F.regexp_extract(F.try_element_at(ids, F.lit(1)), r"^\s*#\s*sent_id\s*=(.*)$", 1)).alias("sent_id")).where(F.size("data") > 0)
+        blocks = _blocks(files).withColumn("lines", F.transform("lines", trimmed))
+        data = F.filter("lines", lambda x: (x != "") & ~x.startswith("#"))
+        ids = F.filter("lines", lambda x: x.startswith("# sent_id = ") | x.startswith("# sent_id="))
+        last = F.try_element_at(ids, F.lit(-1))  # the last of several counts
+        sentences = blocks.select("file", "sent_no", data.alias("data"), trimmed(F.regexp_replace(last, "^# sent_id ?= ?", "")).alias("sent_id")).where(F.size("data") > 0)
         whole = F.forall("data", lambda x: F.size(F.split(x, "\t")) >= 10)
         rows = sentences.where(whole).select("file", "sent_no", F.nullif("sent_id", F.lit("")).alias("sent_id"), F.posexplode(F.transform("data", lambda x: F.split(x, "\t"))).alias("line_no", "f"))
         return Parsed(rows.select("file", "sent_no", "sent_id", "line_no", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(COLUMNS)]), sentences.where(~whole).select("file", "sent_no"))
 
 
 def _first_fault(files: DataFrame) -> None:
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where((F.trim("line") != "") & ~F.trim("line").startswith("#") & (F.size(F.split("line", "\t")) < 10))
+    split = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).withColumn("line", trimmed(F.col("line")))
+    lines = split.where((F.col("line") != "") & ~F.col("line").startswith("#") & (F.size(F.split("line", "\t")) < 10))
     bad = lines.orderBy("file", "at").limit(1).collect()
     if bad:
         raise FormatError(f"{bad[0].file}:{bad[0].at + 1}: expected 10 tab-separated fields")
