@@ -79,9 +79,9 @@ def test_blocks_change_nothing(spark, block):
 
 def test_joined_without_conjunction():
     """1:2 and 2:1, with and without one half that is found by its clause."""
-    words = [f"w{i}" for i in range(40)]
-    v, x = {w: i for i, w in enumerate(words)}, np.eye(40, dtype=np.float32)
-    model = (v, np.ones(40), x, v, np.ones(40), x)
+    words = [2 * i for i in range(40)]
+    side = align.Side(align.Rows(np.array(words), 1), np.ones(41), np.arange(40), np.eye(40, dtype=np.float32))
+    model = side, side
     sentence = lambda i, *parts: (i, i, [words[a:b] for a, b in parts])
     two = [sentence(0, (0, 5)), sentence(1, (5, 10)), sentence(2, (20, 24)), sentence(3, (30, 32))]
     for n in (4, 5, 7):
@@ -91,16 +91,35 @@ def test_joined_without_conjunction():
         assert set(align.match(two, one, model)) == {(0, 0), (1, 0), (2, 1)}
 
 
-def test_terms_beyond_the_cap(spark, monkeypatch):
-    """Sentences of rare lemmas that are equal in both languages, cut or not."""
+def test_terms_without_a_row_of_their_own(spark, monkeypatch):
+    """Sentences of rare lemmas that are equal in both languages, cut or not; then lemmas that differ, all of shared rows."""
     rare = [[f"rare{4 * i + k}" for k in range(4)] for i in range(9)]
     tok = [(100 * i + k + 10_000 * side, comp, side, i + 20 * side, i, w, w, "NOUN") for side, comp in enumerate(("es", "en")) for i, ws in enumerate(rare) for k, w in enumerate(["el" if side == 0 else "it", *ws])]
     t = spark.createDataFrame(tok, TOK)
     d = spark.createDataFrame([(0, 0, "es", "P"), (1, 0, "en", "P")], "doc_idx int, doc_in_comp int, comp string, pair_key string")
     m = spark.createDataFrame([("s", "es", "en")], "align_name string, source_component string, target_component string")
-    monkeypatch.setattr(align, "MAX_TERMS", 1)
+    monkeypatch.setattr(align, "OWN_ROWS", 1)
     for block in (1024, 4):
         assert {(r.sent_a, r.sent_b) for r in align.align_sentences(t, d, m, block).collect()} == {(i, i + 20) for i in range(9)}
+    tok, docs, truth = bilingual(random.Random(3), 12, 20)
+    d = spark.createDataFrame(docs, "doc_idx int, doc_in_comp int, comp string, pair_key string")
+    got = {(r.sent_a, r.sent_b) for r in align.align_sentences(spark.createDataFrame(tok, TOK), d, m).collect()}
+    assert len(got & truth) / len(truth) > 0.95 and len(got & truth) / len(got) > 0.95
+
+
+def test_decomposition_is_that_of_the_whole_table(spark):
+    """Distributed passes against numpy: similarities of all rows."""
+    rng = np.random.default_rng(2)
+    c = rng.integers(0, 2, (30, 20)) * rng.integers(1, 9, (30, 20)) * align.COUNT_UNIT
+    s, t = np.nonzero(c)
+    df = spark.createDataFrame([("k", "a", "b", int(i), int(j), int(c[i, j])) for i, j in zip(s, t)], align._COUNTS_SQL)
+    x, y = align.Decomposition(df).vectors(8)["k", "a", "b"]
+    n = c / align.COUNT_UNIT
+    r, q = n.sum(1), n.sum(0)
+    u, sv, vt = np.linalg.svd((n - np.outer(r, q) / n.sum()) / np.sqrt(np.outer(r + 1, q + 1)))
+    root = np.sqrt(sv[:8])
+    want = align._unit(u[:, :8] * root) @ align._unit(vt[:8].T * root).T
+    assert np.abs(x @ y.T - want).max() < 0.02
 
 
 def test_hand_made(spark):
