@@ -1,26 +1,29 @@
 """Frequency of every distinct term by burst tries.
 
 A burst trie keeps terms in small containers at the ends of a trie over their first characters; a container that grows
-beyond its capacity bursts into one container per next character. Each task counts its share of (term, record)
-states into such a trie and writes its containers, sorted, with their prefix. The prefixes under which most terms lie
-become routes; containers go to the task of the longest route their terms begin with (so a frequent beginning is divided
-further, however many terms share it), and matching subtrees are merged there.
+beyond its capacity bursts into one container per next character. Prefixes under which more than a set share of a layer's
+rows lie are burst beforehand; a term's route is its shortest prefix that is not. Rows go to the task of their route, and
+if a route still holds too much (one term with most rows) to one of several by record, so each task holds one range of
+prefixes and counts occurrences and records in tries of its own. A task whose tries grow large hands their subtrees on.
+Matching subtrees of all tasks are merged by route.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.functions.storage import written
-
 CAPACITY = 4096
-#: Routes are few and short, so they may go to every task.
-MAX_ROUTES = 4096
+#: A route holds at most about this share of a layer's rows; prefixes are burst up to this length. Both bound the table of
+#: burst prefixes that goes to every task: PREFIX / SHARE entries a layer.
+SHARE, PREFIX = 1 / 64, 4
+#: A task hands its subtrees on when they hold so many terms, and adds up states of one range in steps of about so many rows.
+HELD_TERMS, STEP_ROWS = 500_000, 65_536
 SUBTREE = "layer string, prefix string, terms array<string>, occurrences array<bigint>, records array<bigint>"
 
 
@@ -64,12 +67,24 @@ class BurstTrie:
                 yield prefix, node
 
 
-def route_of(term: str, routes: set[str], longest: int) -> str:
-    """The longest route that `term` begins with; the empty one holds for all."""
-    for k in range(min(longest, len(term)), 0, -1):
-        if term[:k] in routes:
-            return term[:k]
-    return ""
+def route_of(term: str, burst: dict[str, int]) -> str:
+    """The shortest prefix that is not burst, or the whole term."""
+    k = 0
+    while k < len(term) and term[:k] in burst:
+        k += 1
+    return term[:k]
+
+
+def burst_prefixes(values: DataFrame) -> dict[str, dict[str, int]]:
+    """Per layer the prefixes that hold more than SHARE of its rows, with the number of tasks that so many rows ask for."""
+    by = values.where("term IS NOT NULL").groupBy("layer", F.substring("term", 1, PREFIX).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    each = by.select("layer", F.explode(F.transform(F.sequence(F.lit(0), F.length("p")), lambda k: F.substr("p", F.lit(1), k))).alias("p"), "n").groupBy("layer", "p").agg(F.sum("n").alias("n"))
+    total = each.where("p = ''").select("layer", F.col("n").alias("total"))
+    heavy = each.join(F.broadcast(total), "layer").where(F.col("n") > F.col("total") * SHARE)  # a row per layer
+    out: dict[str, dict[str, int]] = {}
+    for r in heavy.select("layer", "p", F.ceil(F.col("n") / (F.col("total") * SHARE)).alias("tasks")).collect():
+        out.setdefault(r.layer, {})[r.p] = r.tasks
+    return out
 
 
 def _subtrees(layer: str, trie: BurstTrie) -> Iterator[tuple]:
@@ -85,44 +100,97 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tries: dict[str, BurstTrie] = {}
+def _router(burst: dict[str, dict[str, int]]):
+    """Rows of layer, term, record to states with their number n, the route and the shard of the record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, str], tuple[str, int]] = {}
+        for b in _steps(batches):
+            t = pa.Table.from_batches(b).group_by(["layer", "term", "record"]).aggregate([([], "count_all")])
+            layer, term = (t[c].combine_chunks().dictionary_encode() for c in ("layer", "term"))
+            layers, terms = layer.dictionary.to_pylist(), term.dictionary.to_pylist()
+            code = layer.indices.to_numpy().astype(np.int64) * len(terms) + term.indices.to_numpy()
+            pairs, inv = np.unique(code, return_inverse=True)
+            routes, shards = [], np.empty(len(pairs), np.int64)
+            for i, c in enumerate(pairs.tolist()):
+                key = layers[c // len(terms)], terms[c % len(terms)]
+                if key not in known:
+                    if len(known) > HELD_TERMS:
+                        known.clear()
+                    own = burst.get(key[0], {})
+                    route = route_of(key[1], own)
+                    known[key] = route, own.get(route[:PREFIX], 1)  # beyond PREFIX a single term may still be frequent
+                r, shards[i] = known[key]
+                routes.append(r)
+            record = pc.fill_null(t["record"], -1).to_numpy()
+            shard = (record * 0x9E3779B1 >> 7) % shards[inv]
+            yield pa.RecordBatch.from_arrays([t["layer"].combine_chunks(), pa.array(routes, pa.string()).take(pa.array(inv)), pa.array(shard, pa.int32()), t["term"].combine_chunks(), t["record"].combine_chunks(), t["count_all"].combine_chunks()], schema=_STATES)
+
+    return run
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    held, n = [], 0
     for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b]).group_by(["layer", "term"]).aggregate([("n", "sum"), ("n", "count"), ("lost", "sum")])
-        occ = pc.add(pc.fill_null(t["n_sum"], 0), pc.fill_null(t["lost_sum"], 0))
-        for layer, term, n, r in zip(t["layer"].to_pylist(), t["term"].to_pylist(), occ.to_pylist(), t["n_count"].to_pylist(), strict=True):
-            if layer not in tries:
-                tries[layer] = BurstTrie()
-            tries[layer].add(term, n, r)
-    for layer, trie in tries.items():
-        for row in _subtrees(layer, trie):
-            yield _batch([row], _SCHEMA)
+        held.append(b)
+        n += b.num_rows
+        if n >= STEP_ROWS:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
 
 
-def _router(routes: dict[str, set[str]]):
-    longest = {x: max(map(len, r), default=0) for x, r in routes.items()}
+_STATES = pa.schema([("layer", pa.string()), ("route", pa.string()), ("shard", pa.int32()), ("term", pa.string()), ("record", pa.int64()), ("n", pa.int64())])
+_STATES_SQL = "layer string, route string, shard int, term string, record bigint, n bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for layer, prefix, terms, occ, rec in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                own, far = routes.get(layer, set()), longest.get(layer, 0)
-                parts: dict[str, tuple[list, list, list]] = {}
-                if far <= len(prefix):
-                    parts[route_of(prefix, own, far)] = (terms, occ, rec)
-                else:
-                    for t, o, r in zip(terms, occ, rec, strict=True):
-                        p = parts.setdefault(route_of(t, own, far), ([], [], []))
-                        p[0].append(t)
-                        p[1].append(o)
-                        p[2].append(r)
-                rows += [(layer, route, *p) for route, p in parts.items()]
-            if rows:
-                yield _batch(rows, _SCHEMA)
 
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States arrive sorted by layer, route and record. A record's states are added up before they count as one."""
+    tries: dict[tuple[str, str], BurstTrie] = {}
+    n_terms = 0
+
+    def add(t: pa.Table) -> int:
+        once = t.group_by(["layer", "route", "term", "record"]).aggregate([("n", "sum")])
+        g = once.group_by(["layer", "route", "term"]).aggregate([("n_sum", "sum"), ("record", "count")])
+        new = 0
+        for layer, route, term, n, r in zip(*[g[c].to_pylist() for c in ("layer", "route", "term", "n_sum_sum", "record_count")], strict=True):
+            if (layer, route) not in tries:
+                tries[layer, route] = BurstTrie()
+            tries[layer, route].add(term, n, r)
+            new += 1
+        return new
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for (layer, route), trie in tries.items():
+            for _, _, *lists in _subtrees(layer, trie):
+                yield _batch([(layer, route, *lists)], _SCHEMA)
+        tries.clear()
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows < STEP_ROWS:
+            continue
+        t = pa.Table.from_batches(held)
+        last = pc.and_(pc.and_(pc.equal(t["layer"], t["layer"][-1]), pc.equal(t["route"], t["route"][-1])), pc.equal(pc.fill_null(t["record"], -1), pc.fill_null(t["record"][-1], -1)))
+        cut = pc.index(last, True).as_py()  # where the last, perhaps unfinished record begins
+        if cut:
+            n_terms += add(t.slice(0, cut))
+            t = t.slice(cut)
+        if len(t) >= STEP_ROWS:  # one record alone: no more states than it has terms in this range
+            t = t.group_by(["layer", "route", "shard", "term", "record"]).aggregate([("n", "sum")]).rename_columns(["layer", "route", "shard", "term", "record", "n"]).select(_STATES.names).cast(_STATES)
+        held, rows = t.to_batches(), len(t)
+        if n_terms > HELD_TERMS:
+            yield from done()
+            n_terms = 0
+    if held:
+        add(pa.Table.from_batches(held))
+    yield from done()
 
 
 _COUNTS = pa.schema([("layer", pa.string()), ("term", pa.string()), ("n_positions", pa.int64()), ("n_records", pa.int64())])
@@ -149,22 +217,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
-def term_frequencies(values: DataFrame, record: str) -> DataFrame:
-    """layer, term, n_positions, n_records from rows of layer, term, `record`.
+def term_frequencies(values: DataFrame, record: str, route_source: DataFrame | None = None) -> DataFrame:
+    """layer, term, n_positions, n_records from rows of layer, term, `record` (an integer).
 
     n_positions counts rows, n_records distinct `record` values holding the term; a NULL record counts as a position in
-    no record. NULL terms are left out; the empty string is a term. Empty input, empty output. The states of one
-    (term, record) are added up where they are read, so a term holding most rows costs one state per record and task.
+    no record. NULL terms are left out; the empty string is a term. Empty input, empty output. `route_source`: rows of layer
+    and term that are cheaper to read than `values`; only how the work is shared out depends on them.
     """
-    states = values.where("term IS NOT NULL").groupBy("layer", "term", F.col(record).alias("record")).agg(F.count(F.lit(1)).alias("n"))
-    known = states.select("layer", "term", F.when(F.col("record").isNotNull(), F.col("n")).alias("n"), F.when(F.col("record").isNull(), F.col("n")).alias("lost"))
-    subtrees = written(known.mapInArrow(_count, SUBTREE), "subtrees")
-    weights = subtrees.groupBy("layer", "prefix").agg(F.sum(F.size("terms")).alias("w")).orderBy(F.desc("w"), "layer", "prefix").limit(MAX_ROUTES).collect()
-    routes: dict[str, set[str]] = {}
-    for r in weights:
-        routes.setdefault(r.layer, set()).add(r.prefix)
-    routed = subtrees.mapInArrow(_router(routes), SUBTREE)
-    return routed.repartition("layer", "prefix").sortWithinPartitions("layer", "prefix").mapInArrow(_merge, "layer string, term string, n_positions bigint, n_records bigint")
+    burst = burst_prefixes(values if route_source is None else route_source)
+    rows = values.where("term IS NOT NULL").select("layer", "term", F.col(record).cast("bigint").alias("record"))
+    states = rows.mapInArrow(_router(burst), _STATES_SQL).repartition("layer", "route", "shard").sortWithinPartitions("layer", "route", "record")
+    subtrees = states.mapInArrow(_count, SUBTREE)
+    return subtrees.repartition("layer", "prefix").sortWithinPartitions("layer", "prefix").mapInArrow(_merge, "layer string, term string, n_positions bigint, n_records bigint")
 
 
 def verdicts(counts: DataFrame, n_records: int, rare_positions: int = 2, common_share: tuple[int, int] = (1, 3)) -> DataFrame:

@@ -21,9 +21,10 @@ def _layers(t: DataFrame, *names: str) -> DataFrame:
 
 def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of word, lemma and upos: positions, corpus documents holding it, verdict."""
-    n_docs = latest_valid(table(spark, sf_dir, "corpus_docs").select("doc_idx", "ingested_at"), "doc_idx").count()
-    values = _layers(tokens(spark, sf_dir, "doc_idx", "word", "lemma", "upos"), "word", "lemma", "upos").drop("pos")
-    counts = burst_trie.term_frequencies(values, "doc_idx")
+    n_docs = table(spark, sf_dir, "corpus_docs").select(F.count_distinct("doc_idx")).first()[0]
+    names = "word", "lemma", "upos"
+    values = _layers(tokens(spark, sf_dir, "doc_idx", *names), *names).drop("pos")
+    counts = burst_trie.term_frequencies(values, "doc_idx", _layers(table(spark, sf_dir, "tokens").select(*names), *names))
     return burst_trie.verdicts(counts, n_docs).withColumnRenamed("n_records", "n_docs")
 
 

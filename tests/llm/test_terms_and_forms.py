@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ def test_trie_counts_and_bursts():
 
 
 def test_route():
-    assert route_of("abc", {"a", "ab"}, 2) == "ab" and route_of("b", {"a"}, 1) == "" and route_of("", {"a"}, 1) == ""
+    burst = {"": 5, "a": 3, "ab": 2}
+    assert [route_of(x, burst) for x in ("abc", "ab", "ax", "b", "", "a")] == ["abc", "ab", "ax", "b", "", "a"] and route_of("abc", {}) == ""
 
 
 def brute_counts(rows):
@@ -42,9 +44,21 @@ def brute_counts(rows):
     return {k: (n, len(rec[k])) for k, n in pos.items()}
 
 
-@pytest.mark.parametrize("capacity,max_routes", [(4096, 4096), (4, 7)])
-def test_frequencies(spark, monkeypatch, capacity, max_routes):
-    monkeypatch.setattr(burst_trie, "MAX_ROUTES", max_routes)
+def test_a_task_adds_up_and_hands_on(monkeypatch):
+    """Small steps and tries: states of a record in several batches, subtrees handed on before the end."""
+    monkeypatch.setattr(burst_trie, "STEP_ROWS", 5)
+    monkeypatch.setattr(burst_trie, "HELD_TERMS", 3)
+    rng = random.Random(2)
+    rows = sorted([("w", "", 0, rng.choice("abcdef"), rng.choice([None, 1, 2, 3]), 1) for _ in range(200)], key=lambda r: (r[4] is not None, r[4] or 0))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 3]), burst_trie._STATES)], schema=burst_trie._STATES) for i in range(0, 200, 3)]
+    out = list(burst_trie._count(iter(batches)))
+    merged = list(burst_trie._merge(iter(out)))
+    assert len(out) > 1 and {(t, p, n) for b in merged for _, t, p, n in zip(*[c.to_pylist() for c in b.columns])} == {(t, n, r) for (_, t), (n, r) in brute_counts([(r[0], r[3], r[4]) for r in rows]).items()}
+
+
+@pytest.mark.parametrize("share", [1 / 64, 1 / 3, 1 / 2000])
+def test_frequencies(spark, monkeypatch, share):
+    monkeypatch.setattr(burst_trie, "SHARE", share)
     rng = random.Random(4)
     word = lambda: rng.choice([None, "", "the", "the", "the", "".join(rng.choice("abc") for _ in range(rng.randrange(1, 6)))])
     rows = [(rng.choice(["w", "l"]), word(), rng.choice([None, 1, 2, 3, 4])) for _ in range(3000)]
