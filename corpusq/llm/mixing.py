@@ -1,11 +1,11 @@
 """Mixing sources to target weights with soft memberships.
 
-Every document belongs to domains: one with a source to that source, one without to all of them by the posterior of a
-classifier fitted on documents with sources. Rates (expected uses) of documents are fitted by projected-gradient
-least squares, so that expected domain sizes meet the targets: 0 <= rate <= allowed repeats. Steps are scaled by supply.
-Documents of one source share one rate, so they enter as the source's total; documents without source take distributed
-steps, each a pass that applies the gradients so far (one number per domain and step) and sums their expected sizes. They
-serve only domains whose own documents do not suffice. Rates become whole uses by systematic selection along the size.
+Every document belongs to domains: one with a source to that source, one without to the likeliest by the posterior of a
+classifier fitted on documents with sources, in steps of 1 / `GRID`. Documents of the same membership share a rate (expected
+uses), so the sizes of all memberships, one distributed sum, are all that the fit needs: projected-gradient least squares on
+rates, 0 <= rate <= allowed repeats, so that the expected size of each domain meets its target. Documents with a source move
+first, then all, so that those without serve the domains that fall short. Rates become whole uses by systematic selection
+along the size.
 """
 
 from __future__ import annotations
@@ -20,12 +20,19 @@ from pyspark.sql import types as T
 
 from corpusq.functions.storage import written
 from corpusq.llm.abuse import features, hashed
+from corpusq.llm.samples import bounded_sample
 from corpusq.llm.sizes import TOKENIZER, encoding
 
 #: The classifier is fitted on at most this many documents with sources, chosen by hash of the id.
 MAX_LABELLED = 5_000
 BITS = 16
-STEPS, TOLERANCE = 12, 1e-4
+#: A document without source belongs to so many domains at most, in whole parts of 1 / GRID. This bounds the memberships.
+MEMBERSHIPS, GRID = 3, 8
+STEPS, TOLERANCE = 2_000, 1e-7
+#: Documents of one size are dealt to so many parts by hash, as one size may hold a third of all.
+PARTS = 256
+#: Fractions of uses are whole numbers in this unit, so that sums don't depend on their order.
+UNIT = 1_000_000_000
 OTHER = "(other)"
 
 
@@ -59,155 +66,123 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_domains(documents: DataFrame, domains: list[str], max_labelled: int = MAX_LABELLED) -> NaiveBayes:
     """A classifier of the documents' sources; sources that no mix names are one domain."""
-    known = documents.where("source IS NOT NULL")
-    n = known.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1, max_labelled / max(n, 1)))
-    rows = known.where(part).select("doc_id", "source", "text").limit(max_labelled).toArrow().sort_by([("doc_id", "ascending")])
+    known = documents.where("source IS NOT NULL").select("doc_id", "source", "text")
+    rows = bounded_sample(known, "doc_id", "text", max_labelled).toArrow()
     labels = [s if s in domains else OTHER for s in rows["source"].to_pylist()]
     return NaiveBayes(rows["text"].to_pylist(), labels, domains)
 
 
+def in_parts(posterior: np.ndarray) -> np.ndarray:
+    """Whole parts that add up to GRID, of the MEMBERSHIPS likeliest domains of each row."""
+    n, k = posterior.shape
+    rank = np.argsort(-posterior, axis=1, kind="stable")
+    kept = np.zeros((n, k))
+    at = np.arange(n)[:, None], rank[:, :MEMBERSHIPS]
+    kept[at] = posterior[at]
+    parts = np.floor(kept / kept.sum(1, keepdims=True) * GRID + 0.5).astype(np.int64)
+    parts[np.arange(n), rank[:, 0]] += GRID - parts.sum(1)
+    return parts
+
+
 def memberships(documents: DataFrame, model: NaiveBayes, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, n_tokens, posterior (NULL where the source is known): one pass over the texts."""
+    """doc_id, source, n_tokens, parts (by domain, of GRID): one pass over the texts."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoding(path)
+        at = {d: i for i, d in enumerate(model_domains)}
+        own = [[GRID * (i == j) for j in range(len(at))] for i in range(len(at))]
         for b in batches:
             texts, source = b.column("text").to_pylist(), b.column("source").to_pylist()
             sizes = [len(e.encode_ordinary(t)) if t else 0 for t in texts]
+            parts = [None if s is None else own[at.get(s, at[OTHER])] for s in source]
             free = [i for i, s in enumerate(source) if s is None]
-            post: list = [None] * len(texts)
             if free:
-                for i, p in zip(free, sent.value.posteriors([texts[i] for i in free]).tolist(), strict=True):
-                    post[i] = p
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), pa.array(post, pa.list_(pa.float64()))], names=["doc_id", "source", "n_tokens", "posterior"])
+                for i, p in zip(free, in_parts(sent.value.posteriors([texts[i] for i in free])).tolist(), strict=True):
+                    parts[i] = p
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "source", "n_tokens", "parts"])
 
+    model_domains = model.domains
     kind = documents.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("source", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("source", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("parts", T.ArrayType(T.IntegerType()))])
     return documents.select("doc_id", "source", "text").mapInArrow(run, schema)
 
 
-def rates_after(posterior: np.ndarray, steps: np.ndarray, caps: np.ndarray) -> np.ndarray:
-    """Rates after projected steps; steps: (number, domains), gradients over supplies. caps: most uses by document."""
-    r = np.zeros(len(posterior))
-    for g in steps:
-        r = np.clip(r + posterior @ g, 0, caps)
-    return r
-
-
-def _free_caps(posterior: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-    return repeats[posterior.argmax(1)]
-
-
-def _expected(free: DataFrame, mixes: dict[str, dict], k: int) -> dict[str, np.ndarray]:
-    """Expected size of each domain from the documents without source: one distributed pass for all mixes."""
-    state = {m: (np.array(x["steps"]).reshape(-1, k), x["repeats"]) for m, x in mixes.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {m: np.zeros(k) for m in state}
-        for b in batches:
-            if b.num_rows:
-                p = np.array(b.column("posterior").to_pylist()).reshape(-1, k)
-                s = b.column("n_tokens").to_numpy().astype(float)
-                for m, (steps, repeats) in state.items():
-                    total[m] += (rates_after(p, steps, _free_caps(p, repeats)) * s) @ p
-        for m, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([m] * k), pa.array(range(k), pa.int32()), pa.array(t)], names=["mix", "i", "v"])
-
-    out = {m: np.zeros(k) for m in mixes}
-    for r in free.mapInArrow(run, "mix string, i int, v double").groupBy("mix", "i").agg(F.sum("v").alias("v")).collect():
-        out[r.mix][r.i] = r.v
-    return out
+def project(member: np.ndarray, size: np.ndarray, own: np.ndarray, target: np.ndarray, caps: np.ndarray) -> np.ndarray:
+    """Rates of memberships (rows of `member`, shares of domains) by projected gradient on the squared distance of the
+    expected domain sizes from `target`; steps are scaled by the domains' supply. Those of documents with a source (`own`)
+    move alone until they rest, then all."""
+    rate = np.zeros(len(size))
+    for movable in (own, np.ones(len(size), bool)):
+        supply = (size * movable) @ member
+        for _ in range(STEPS):
+            lack = np.divide(target - (rate * size) @ member, supply, out=np.zeros(len(target)), where=supply > 0)
+            new = np.where(movable, np.clip(rate + member @ lack, 0, caps), rate)
+            moved, rate = np.abs(new - rate).max(initial=0), new
+            if moved < TOLERANCE:
+                break
+    return rate
 
 
 def fit_rates(members: DataFrame, targets: DataFrame, domains: list[str]) -> dict[str, dict]:
-    """Per mix: rate of each source, steps for documents without source, targets, supplies. Everything kept here is one
-    number per mix, domain and step."""
+    """Per mix: rates of the memberships that are used, targets, supplies. The driver sees one number per membership, of
+    which there are at most as many as the domains, MEMBERSHIPS and GRID allow."""
     k, at = len(domains), {d: i for i, d in enumerate(domains)}
-    supply, soft = np.zeros(k), np.zeros(k)
-    total = 0.0
-    for r in members.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect():
-        total += r.n or 0
-        if r.source is not None:
-            supply[at.get(r.source, at[OTHER])] += r.n or 0
-    free = members.where("posterior IS NOT NULL AND n_tokens > 0")
-    for r in free.select(F.posexplode("posterior").alias("i", "p"), "n_tokens").groupBy("i").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("v")).collect():
-        soft[r.i] = r.v
+    got = members.where("n_tokens > 0").groupBy(F.col("source").isNotNull().alias("own"), "parts").agg(F.sum("n_tokens").alias("n")).collect()
+    got.sort(key=lambda r: (r.own, r.parts))
+    parts = [r.parts for r in got]
+    member, size, own = np.array(parts, float).reshape(-1, k) / GRID, np.array([r.n for r in got], float), np.array([r.own for r in got], bool)
+    total, supply = float(size.sum()), (size * own) @ member if len(got) else np.zeros(k)
     mixes: dict[str, dict] = {}
     for r in targets.where("mix_name IS NOT NULL AND source IS NOT NULL").orderBy("mix_name", "source").collect():
-        m = mixes.setdefault(r.mix_name, {"target": np.zeros(k), "repeats": np.zeros(k), "steps": [], "named": []})
+        m = mixes.setdefault(r.mix_name, {"target": np.zeros(k), "repeats": np.zeros(k), "named": []})
         m["target"][at[r.source]] = (r.target_share or 0) * (r.budget_ratio or 0) * total
         m["repeats"][at[r.source]] = max(r.max_repeats or 0, 0)
         m["named"].append(r.source)
-    from_free = {m: np.zeros(k) for m in mixes}
     for m in mixes.values():
-        m["rates"] = _project(m["target"], supply, m["repeats"])
-    if soft.any():
-        for _ in range(STEPS):
-            moved = 0.0
-            for name, m in mixes.items():
-                lack = m["target"] - m["rates"] * supply - from_free[name]
-                lack[m["target"] <= 0] = -from_free[name][m["target"] <= 0]
-                g = np.divide(lack, soft, out=np.zeros(k), where=soft > 0)
-                short = (m["rates"] >= m["repeats"]) & (m["target"] > 0)
-                g = np.where(short | (g < 0), np.clip(g, -1, m["repeats"].max(initial=0)), 0)
-                m["steps"].append(g.tolist())
-                moved = max(moved, float(np.abs(g).max(initial=0)))
-            from_free = _expected(free, mixes, k)
-            for name, m in mixes.items():
-                m["rates"] = _project(np.maximum(m["target"] - from_free[name], 0), supply, m["repeats"])
-            if moved < TOLERANCE:
-                break
-    for name, m in mixes.items():
-        m |= {"supply": supply, "expected": m["rates"] * supply + from_free[name]}
+        top = member.argmax(1) if len(got) else np.zeros(0, int)
+        rate = project(member, size, own, m["target"], m["repeats"][top])
+        m["rates"] = [(bool(o), p, domains[t], float(r)) for o, p, t, r in zip(own, parts, top, rate, strict=True) if r > 1e-9]
+        m |= {"supply": supply, "expected": np.bincount(top, rate * size, k)}
     return mixes
 
 
-def _project(want: np.ndarray, supply: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-    """The least-squares rate of each source within its bounds; steps scaled by supply reach it in one."""
-    return np.clip(np.divide(want, supply, out=np.zeros(len(want)), where=supply > 0), 0, repeats)
+_PLACE = ["mix_name", "domain", "n_tokens"]
 
 
 def draws(members: DataFrame, mixes: dict[str, dict], domains: list[str]) -> DataFrame:
     """mix_name, doc_id, source, domain, n_tokens, uses of every document used."""
-    k = len(domains)
-    state = {m: (dict(zip(domains, x["rates"].tolist(), strict=True)), np.array(x["steps"]).reshape(-1, k), x["repeats"]) for m, x in mixes.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            source, post = b.column("source").to_pylist(), b.column("posterior").to_pylist()
-            free = [i for i, p in enumerate(post) if p is not None]
-            p = np.array([post[i] for i in free]).reshape(-1, k)
-            for m, (rates, steps, repeats) in state.items():
-                domain = [s if s in rates else OTHER for s in source]
-                rate = np.array([rates[d] for d in domain])
-                if free:
-                    rate[free] = rates_after(p, steps, _free_caps(p, repeats))
-                    for i, d in zip(free, p.argmax(1).tolist(), strict=True):
-                        domain[i] = domains[d]
-                use = pa.array(np.flatnonzero(rate > 0))
-                yield pa.RecordBatch.from_arrays([pa.array([m] * len(use), pa.string()), b.column("doc_id").take(use), b.column("source").take(use), pa.array(domain).take(use), b.column("n_tokens").take(use), pa.array(rate).take(use)], names=["mix_name", "doc_id", "source", "domain", "n_tokens", "rate"])
-
-    kind = members.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("mix_name", T.StringType()), T.StructField("doc_id", kind), T.StructField("source", T.StringType()), T.StructField("domain", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("rate", T.DoubleType())])
-    rated = written(members.where("n_tokens > 0").mapInArrow(run, schema), "rated")
+    rows = [(m, *r) for m, x in mixes.items() for r in x["rates"]]
+    rates = members.sparkSession.createDataFrame(rows, "mix_name string, own boolean, parts array<int>, domain string, rate double")
+    drawn = members.where("n_tokens > 0").withColumn("own", F.col("source").isNotNull()).join(F.broadcast(rates), ["own", "parts"])  # a row per mix and membership
+    rated = written(drawn.select("mix_name", "doc_id", "source", "domain", "n_tokens", "rate").withColumn("row", F.monotonically_increasing_id()), "rated")
     whole = written(systematic(rated), "whole")
     return repaired(whole, mixes, domains).where("uses > 0").select("mix_name", "doc_id", "source", "domain", "n_tokens", "uses")
 
 
+def _part() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(PARTS)).alias("part")
+
+
+def _order() -> list:
+    return [F.xxhash64("doc_id"), "doc_id", "row"]
+
+
 def systematic(rated: DataFrame) -> DataFrame:
     """`rated` with whole `uses`, floor or ceiling of rate: along the sizes of a domain, a document gets one more where the sum
-    of the rates' fractions passes a whole number. The sums run over sizes first, then within a size, so that
-    no task goes through all documents of a domain."""
-    part = rated.withColumn("part", F.col("rate") - F.floor("rate"))
-    by_size = part.groupBy("mix_name", "domain", "n_tokens").agg(F.sum("part").alias("all"))
-    w = Window.partitionBy("mix_name", "domain").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_size.select("mix_name", "domain", "n_tokens", F.coalesce(F.sum("all").over(w), F.lit(0.0)).alias("before"))
-    inside = Window.partitionBy("mix_name", "domain", "n_tokens").orderBy(F.xxhash64("doc_id"), "doc_id", "rate").rowsBetween(Window.unboundedPreceding, 0)
-    summed = part.withColumn("upto", F.sum("part").over(inside)).join(before, ["mix_name", "domain", "n_tokens"])
-    end = F.col("before") + F.col("upto") + 0.5
-    return summed.withColumn("uses", (F.floor("rate") + F.floor(end + 1e-9) - F.floor(end - F.col("part") + 1e-9)).cast("bigint")).drop("part", "upto", "before")
+    of the rates' fractions passes a whole number. The sums run over sizes first, then over the parts of a size, then within
+    a part, so that no task goes through all documents of a domain or of a size."""
+    cut = rated.withColumns({"part": _part(), "over": F.round((F.col("rate") - F.floor("rate")) * UNIT).cast("bigint")})
+    by_part = cut.groupBy(*_PLACE, "part").agg(F.sum("over").alias("all"))
+    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = by_part.withColumn("in_size", F.coalesce(F.sum("all").over(upto(*_PLACE).orderBy("part")), F.lit(0)))
+    by_size = by_part.groupBy(*_PLACE).agg(F.sum("all").alias("all")).withColumn("in_domain", F.coalesce(F.sum("all").over(upto("mix_name", "domain").orderBy("n_tokens")), F.lit(0)))
+    before = before.drop("all").join(by_size.drop("all"), _PLACE)
+    inside = Window.partitionBy(*_PLACE, "part").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.withColumn("upto", F.sum("over").over(inside)).join(before, [*_PLACE, "part"])
+    end = F.col("in_domain") + F.col("in_size") + F.col("upto") + UNIT // 2
+    uses = F.floor("rate") + F.floor(end / UNIT) - F.floor((end - F.col("over")) / UNIT)
+    return summed.withColumn("uses", uses.cast("bigint")).select(*rated.columns, "uses")
 
 
 def repaired(whole: DataFrame, mixes: dict[str, dict], domains: list[str]) -> DataFrame:
@@ -216,7 +191,7 @@ def repaired(whole: DataFrame, mixes: dict[str, dict], domains: list[str]) -> Da
     Only sizes up to the difference matter, so a histogram of these is all the driver sees; it fills the difference from the
     largest size down, and of each size as many documents as needed, in hash order, change by one use.
     """
-    expected = {(m, d): min(float(x["expected"][i]), float(x["target"][i])) for m, x in mixes.items() for i, d in enumerate(domains)}
+    expected = {(m, d): float(x["expected"][i]) for m, x in mixes.items() for i, d in enumerate(domains)}
     caps = {(m, d): int(x["repeats"][i]) for m, x in mixes.items() for i, d in enumerate(domains)}
     spark = whole.sparkSession
     off, rows = {}, []
@@ -229,7 +204,7 @@ def repaired(whole: DataFrame, mixes: dict[str, dict], domains: list[str]) -> Da
     differs = F.broadcast(spark.createDataFrame(rows, "mix_name string, domain string, off bigint, cap bigint"))  # a row per mix and source
     can = whole.join(differs, ["mix_name", "domain"]).where("n_tokens <= abs(off) AND CASE WHEN off > 0 THEN uses < cap ELSE uses > 0 END")
     take: list[tuple] = []
-    for r in can.groupBy("mix_name", "domain", "n_tokens").count().orderBy("mix_name", "domain", F.desc("n_tokens")).collect():
+    for r in can.groupBy(*_PLACE).count().orderBy("mix_name", "domain", F.desc("n_tokens")).collect():
         key = r.mix_name, r.domain
         n = min(r["count"], abs(off[key]) // r.n_tokens)
         if n:
@@ -238,10 +213,13 @@ def repaired(whole: DataFrame, mixes: dict[str, dict], domains: list[str]) -> Da
     if not take:
         return whole
     chosen = F.broadcast(spark.createDataFrame(take, "mix_name string, domain string, n_tokens bigint, take bigint, by bigint"))  # at most a row per token of difference
-    w = Window.partitionBy("mix_name", "domain", "n_tokens").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    changed = can.join(chosen, ["mix_name", "domain", "n_tokens"]).withColumn("nr", F.row_number().over(w)).where("nr <= take").select("mix_name", "domain", "n_tokens", F.col("doc_id").alias("changed"), "by", "cap")
-    on = (F.col("w.mix_name") == F.col("c.mix_name")) & (F.col("w.domain") == F.col("c.domain")) & (F.col("w.n_tokens") == F.col("c.n_tokens")) & F.col("doc_id").eqNullSafe(F.col("changed"))
-    return whole.alias("w").join(changed.distinct().alias("c"), on, "left").select(*[F.col(f"w.{c}") for c in whole.columns if c != "uses"], F.when(F.col("by").isNull(), F.col("uses")).otherwise(F.greatest(F.lit(0), F.least(F.col("uses") + F.col("by"), F.col("cap")))).alias("uses"))
+    near = can.join(chosen, _PLACE).select(*_PLACE, "row", "doc_id", "take", "by", _part())
+    counted = near.groupBy(*_PLACE, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*_PLACE).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy(*_PLACE, "part").orderBy(*_order()))
+    open_parts = near.join(counted.select(*_PLACE, "part", before.alias("before")), [*_PLACE, "part"]).where("before < take")
+    changed = open_parts.withColumn("nr", at).where("before + nr <= take").select("mix_name", "row", "by")
+    return whole.join(changed, ["mix_name", "row"], "left").select(*[c for c in whole.columns if c != "uses"], (F.col("uses") + F.coalesce("by", F.lit(0))).alias("uses"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, dict[str, dict], list[str]]:
@@ -249,7 +227,8 @@ def mix(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, max_lab
 
     Documents with NULL or empty text have no size and are not drawn. A mix of sources without documents is short of them;
     a source in no mix gets rate 0. Nothing is drawn more often than its source's max_repeats, a document without source
-    not more often than those of its likeliest domain.
+    not more often than those of its likeliest domain. Rows with the same or no id are documents of their own. The draws
+    depend on the rows only, not on how they are partitioned.
     """
     domains = sorted({r.source for r in targets.select("source").distinct().collect() if r.source is not None}) + [OTHER]
     model = fit_domains(documents, domains, max_labelled)

@@ -247,5 +247,36 @@ def test_mix(spark):
     assert sum(right) > 0.95 * len(right)
     again, *_ = mixing.mix(docs.unionByName(docs.where("doc_id < 300")).unionByName(docs.where("doc_id < 300").withColumn("doc_id", F.lit(None).cast("long"))), targets)
     assert all(1 <= r.uses <= cap[r.mix_name, r.domain] for r in again.collect())
+    rows_of = lambda df: sorted(map(tuple, mixing.mix(df, targets)[0].collect()))
+    assert rows_of(docs.repartition(3, "text")) == rows_of(docs.repartition(7, "doc_id")) == sorted(map(tuple, got))
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0
     assert mixing.mix(docs, targets.limit(0))[0].count() == 0
+
+
+def test_projection_against_many_small_steps():
+    """Rates of mixed memberships: no feasible step makes the squared distance smaller."""
+    rng = np.random.default_rng(3)
+    member = np.vstack([np.eye(3), mixing.in_parts(rng.dirichlet([0.3] * 3, 40)) / mixing.GRID])
+    size, own, caps = rng.integers(1, 50, 43).astype(float), np.arange(43) < 3, rng.integers(1, 4, 43).astype(float)
+    target = np.array([200.0, 20.0, 0.0])
+    r = mixing.project(member, size, own, target, caps)
+    miss = lambda x: ((target - (x * size) @ member) ** 2).sum()
+    assert (r >= 0).all() and (r <= caps).all()
+    for _ in range(500):
+        assert miss(r) <= miss(np.clip(r + rng.normal(0, 0.01, 43), 0, caps)) + 1e-3
+    few = mixing.project(np.eye(2), np.array([10.0, 10.0]), np.ones(2, bool), np.array([15.0, 50.0]), np.array([2.0, 3.0]))
+    assert np.allclose(few, [1.5, 3.0])
+
+
+def test_one_size_for_all(spark):
+    """Systematic selection where every document has the same size, and ids are repeated or missing."""
+    rated = spark.createDataFrame([("m", i if i % 3 else None, "s", "s", 10, 0.4, i) for i in range(2000)], "mix_name string, doc_id long, source string, domain string, n_tokens long, rate double, row long")
+    assert 795 <= sum(r.uses for r in mixing.systematic(rated).collect()) <= 805
+
+
+def test_bounded_sample(spark):
+    from corpusq.llm.samples import bounded_sample
+
+    df = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(300)] + [(5, None), (None, "xx")], "doc_id long, text string")
+    a, b = (sorted(r.doc_id or -1 for r in bounded_sample(d, "doc_id", "text", 100, 200).collect()) for d in (df, df.repartition(5)))
+    assert a == b and 40 < len(a) <= 100 and sum(max(i, 0) % 7 for i in a) <= 200 and len(bounded_sample(df, "doc_id", "text", 10).collect()) == 10
