@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusq.llm.lookalikes import by_table, options
+from corpusq.llm.samples import bounded_sample
 
 BITS = 20
 MASK = np.uint64((1 << BITS) - 1)
@@ -28,8 +29,9 @@ MASK = np.uint64((1 << BITS) - 1)
 MAX_LABELLED = 20_000
 #: One bad sentence weighs as much as so many harmless ones, which are far more.
 BAD_WEIGHT = 3.0
-#: Features of fewer sentences are not learnt.
-MIN_COUNT = 3
+#: Judgements that the model finds far off are left out after two rounds: bad ones whose worst passage scores less than this
+#: part of the usual, harmless ones that score more than the usual and this.
+DOUBT_BAD, DOUBT_HARMLESS = 0.25, 0.5
 #: Texts of one Arrow batch are taken in slices of about this many characters.
 SLICE_CHARS = 2_000_000
 _TOKEN = re.compile(r"\n|[.!?]+(?=[\s\"»”)]|$)|[^\s.!?,;:\"«»“”()\[\]…¿¡]+(?:[.!](?=[\w@$])[^\s.!?,;:\"«»“”()\[\]…¿¡]+)*")
@@ -54,11 +56,29 @@ def word_form(word: str) -> str:
 
 
 @lru_cache(500_000)
-def word_hash(word: str) -> int:
-    """0 ends a sentence; words have other values."""
+def word_hash(word: str) -> tuple[int, int]:
+    """At the beginning of a sentence and within; 0 ends a sentence, words have other values. Within, all capitalized words
+    are one: names tell nothing, that there is one does."""
     if word == "\n" or word[0] in ".!?":
-        return 0
-    return (zlib.crc32(word_form(word).encode()) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF or 1
+        return 0, 0
+    h = _number(word_form(word))
+    return h, NAME if word[0].isupper() and not word.isupper() else h
+
+
+def _number(form: str) -> int:
+    return (zlib.crc32(form.encode()) * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF or 1
+
+
+NAME = _number("\x00name")
+
+
+def _word_hashes(text: str) -> list[int]:
+    out, within = [], 0
+    for w in _words(text):
+        h = word_hash(w)[within]
+        out.append(h)
+        within = h != 0
+    return out
 
 
 def _words(text: str) -> list[str]:
@@ -74,7 +94,7 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     flat: list[int] = []
     sizes = []
     for t in texts:
-        words = [word_hash(w) for w in _words(t)] if t else []
+        words = _word_hashes(t) if t else []
         words.append(0)
         flat += words
         sizes.append(len(words))
@@ -109,7 +129,7 @@ def features(h: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Ftrl:
     """FTRL-proximal with a learning rate of its own for each coordinate; updates take small batches of sentences."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.1, l2: float = 0.3):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
@@ -144,8 +164,6 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 256,
     """Weights by hashed feature."""
     h, sent, doc = hashed(texts)
     feature, row = features(h, sent)
-    often = np.bincount(feature, minlength=1 << BITS)[feature] >= MIN_COUNT  # names are rarer
-    feature, row = feature[often], row[often]
     order = np.argsort(row, kind="stable")
     feature, row = feature[order], row[order]
     n = len(doc)
@@ -165,8 +183,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 5, batch: int = 256,
             weight = np.where(bad, top * BAD_WEIGHT, 1.0)
             if epoch > 1 and (bad & top).any():  # some judgements are wrong: those far from what the model has learnt are left out
                 usual = float(np.median(s[bad & top]))
-                weight[bad & (s < usual / 4)] = 0
-                weight[~bad & (s > max(usual, 0.5))] = 0
+                weight[bad & (s < usual * DOUBT_BAD)] = 0
+                weight[~bad & (s > max(usual, DOUBT_HARMLESS))] = 0
         use = np.flatnonzero(weight > 0)
         for part in np.array_split(rng.permutation(use), max(1, len(use) // batch)):
             size = start[part + 1] - start[part]
@@ -190,9 +208,11 @@ def majority(labels: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> np.ndarray:
-    """Weights fitted on the judged documents, `max_labelled` of them at most, chosen by hash of the id."""
+    """Weights fitted on the judged documents, `max_labelled` of them at most, chosen by hash of the id, and no more than
+    samples.MAX_CHARS characters."""
     chosen = majority(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = documents.where("text IS NOT NULL").select("doc_id", "text").join(chosen, "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
+    judged = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = bounded_sample(judged, "doc_id", "text", max_labelled).select("text", "y").toArrow()
     return fit(rows["text"].to_pylist(), rows["y"].to_pylist())
 
 

@@ -12,7 +12,7 @@ from corpusq.operators.latest import latest_valid
 from corpusq.queries.core_problems import _VALID, POSITION_BLOCK, table, tokens
 
 #: A document is reported from this score of its worst passage on.
-ABUSE_THRESHOLD = 0.35
+ABUSE_THRESHOLD = 0.3
 
 
 def _layers(t: DataFrame, *names: str) -> DataFrame:
