@@ -38,14 +38,17 @@ def _vocabulary(t: DataFrame) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens(spark, sf_dir, "comp", "word", "lemma")
-    forms = lookalikes.canonical_table(_vocabulary(t)).select(F.col("comp").alias("c"), F.col("term").alias("t"))
-    odd = _layers(t.where(lookalikes.suspect("word") | lookalikes.suspect("lemma")), "word", "lemma").where(lookalikes.suspect("term"))
-    return odd.join(forms, F.expr("term = t AND comp <=> c"), "left_semi").select("pos", "layer")
+    vocabulary = written(_vocabulary(t), "vocabulary")
+    scripts = lookalikes.alphabets(vocabulary)
+    forms = lookalikes.canonical_table(vocabulary, scripts=scripts).select(F.col("comp").alias("c"), F.col("term").alias("t"))
+    odd = lambda x: lookalikes.suspect(x, "comp", scripts)
+    met = _layers(t.where(odd("word") | odd("lemma")), "word", "lemma").where(odd("term"))
+    return met.join(forms, F.expr("term = t AND comp <=> c"), "left_semi").select("pos", "layer")
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct string of each component with its number of positions and its consistent form."""
-    return lookalikes.canonical_forms(_vocabulary(tokens(spark, sf_dir, "comp", "word", "lemma")))
+    return lookalikes.canonical_forms(written(_vocabulary(tokens(spark, sf_dir, "comp", "word", "lemma")), "vocabulary"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

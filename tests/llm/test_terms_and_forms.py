@@ -1,6 +1,7 @@
 """Burst-trie counting, consistent forms and content scores: against brute force and held-out cases."""
 
 import random
+import unicodedata
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -89,10 +90,28 @@ def test_automaton():
     trie = SpellingTrie()
     for w, n in (("Il", 5), ("ll", 9), ("the", 50), ("café", 3), ("San X", 1)):
         trie.add(w, n)
-    assert trie.match("Іl") == "ll"  # looks like both, the more frequent one
-    assert trie.match("tһе​") == "the" and trie.match("ｃａｆｅ́") == "café" and trie.match("\xa0San X") == "San X"
-    assert trie.match("жук") is None and trie.match("thx") is None and trie.match("thx", budget=1) == "the" and trie.match("thee", budget=1) == "the" and trie.match("te", budget=1) == "the"
+    match = lambda t, b=0.0: (trie.nearest(t, b) or (0, None))[1]
+    assert match("Іl") == "ll"  # looks like both, the more frequent one
+    assert match("tһе​") == "the" and match("ｃａｆｅ́") == "café" and match("\xa0San X") == "San X"
+    assert match("жук") is None and match("thx") is None and match("thx", 1) == match("thee", 1) == match("te", 1) == match("he", 1) == "the" and match("xxe", 1) is None
     assert skeleton("Іl") == skeleton("Il") == skeleton("ll")
+    trie.add("Ionic", 2)
+    assert lookalikes.canonical("Ӏоnics", trie) == "Ionics" and by_table("Ӏоnics") == "Ionics" and lookalikes.canonical("ӏоnics", trie) == "Ionics"
+    trie.add("Ilex", 2)
+    assert lookalikes.canonical("ӏlexa", trie) == "Ilexa" and by_table("ӏlexa") == "llexa"  # the nearest spelling tells which letter it is
+
+
+def test_words_of_other_alphabets():
+    trie = SpellingTrie()
+    for w in ("y", "the", "cop"):
+        trie.add(w, 1)
+    form = lambda t: lookalikes.canonical(t, trie)
+    for word in ("сухо", "ухо", "хор", "οικια", "о", "рука", "Ἀθήνα"):
+        assert form(word) == unicodedata.normalize("NFC", word) and by_table(word) == unicodedata.normalize("NFC", word)
+    assert form("у") == "y" and form("сор") == "cop"  # a plain spelling looks the same
+    cyr = SpellingTrie("CYRILLIC")
+    cyr.add("сухо", 3)
+    assert lookalikes.canonical("cyxo", cyr) == "сухо" and lookalikes.canonical("cухa", cyr) == "суха" and lookalikes.canonical("water", cyr) == "water"
 
 
 def test_forms_within_component(spark):
@@ -101,6 +120,9 @@ def test_forms_within_component(spark):
     got = {(r.comp, r.term): r.canonical for r in canonical_forms(df).collect()}
     assert got == {("en", "the"): "the", ("en", "tһe"): "the", ("fr", "tһe"): "the", (None, "ｘ"): "x", (None, "x"): "x", ("en", "жизнь"): "жизнь", ("en", "x" * 5000 + "​"): "x" * 5000}
     assert canonical_forms(df.limit(0)).count() == 0
+    other = spark.createDataFrame([("ru", "вода и хлеб", 9), ("ru", "хлеб", 4), ("ru", "xлеб", 1), ("ru", "ok", 1), ("el", "λόγος", 5), ("el", "λόγoς", 1), ("en", "bread", 3)], "comp string, term string, n long")
+    assert lookalikes.alphabets(other) == {"ru": "CYRILLIC", "el": "GREEK"}
+    assert {(r.comp, r.term): r.canonical for r in lookalikes.canonical_table(other).collect()} == {("ru", "xлеб"): "хлеб", ("el", "λόγoς"): "λόγος"}
     plain = spark.createDataFrame([(x,) for x in FORMS], "t string").select("t", lookalikes.suspect("t").alias("s"))
     assert all(r.s or by_table(r.t) == r.t for r in plain.collect())
 
