@@ -2,9 +2,10 @@
 
 Items are divided by hash into partitions of a bounded number. Each is packed by best-fit decreasing, and dual-feasible
 functions give a number of containers that no packing of its items can go below. Where packing and bound
-agree the partition is settled. The others keep their full containers and give the documents of all others back; those are
-exchanged (divided anew) and packed again, and a round counts only if it saves containers. The functions' sums add up
-over partitions, so they also bound the packing as a whole.
+agree the partition is settled. The others keep their full containers and give the documents of all others back; these are
+pooled, so that each pool has the documents of several partitions, and packed again. A pool that needs fewer containers than
+its documents had takes their place, and rounds go on until none does. The functions' sums add up over partitions, so they
+also bound the packing as a whole; every item tells whether its partition is certified.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from corpusq.functions.storage import written
 
 #: Items packed together in one task.
 PARTITION_ITEMS = 20_000
-ROUNDS = 4
+#: Specifications, which are a small table; each document becomes a row for each.
+MAX_SPECS = 1_000
 K_FUNCTIONS, L_FUNCTIONS = 20, 64
 
 
@@ -91,12 +93,12 @@ def bound(sums: list[int], capacity: int) -> int:
     return max((-(-s // u) for s, u in zip(sums, unit, strict=True)), default=0)
 
 
-_STATE = "spec_name string, capacity bigint, doc_id bigint, piece bigint, start bigint, n_tokens bigint, part bigint, bin bigint, used bigint, gap boolean"
+_STATE = "spec_name string, capacity bigint, doc_id bigint, piece bigint, start bigint, n_tokens bigint, old string, part bigint, bin bigint, used bigint, gap boolean"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by specification and part."""
-    names = ["spec_name", "capacity", "doc_id", "piece", "start", "n_tokens", "part"]
+    names = ["spec_name", "capacity", "doc_id", "piece", "start", "n_tokens", "old", "part"]
 
     def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
@@ -125,13 +127,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(held)
 
 
-def _packed(items: DataFrame, counts: dict[str, int], salt: int, per_part: int) -> DataFrame:
-    """Items divided by chance into parts of about `per_part`, each packed. They come from a written table, whose row
-    numbers are the same in every run, so repeated ids are divided too."""
+def _packed(items: DataFrame, counts: dict[str, int], key, per_part: int) -> DataFrame:
+    """Items divided by the hash of `key` into parts of about `per_part`, each packed."""
     if not counts:
         return items.sparkSession.createDataFrame([], _STATE)
     parts = F.coalesce(*[F.when(F.col("spec_name") == s, F.lit(-(-n // per_part))) for s, n in counts.items()], F.lit(1))
-    spread = items.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(salt)), parts).cast("bigint"))
+    spread = items.withColumn("part", F.pmod(key, parts).cast("bigint"))
     return spread.repartition("spec_name", "part").sortWithinPartitions("spec_name", "part", "n_tokens", "doc_id", "piece").mapInArrow(_pack, _STATE)
 
 
@@ -142,44 +143,60 @@ def _by_spec(df: DataFrame, *what) -> dict[str, tuple]:
 def items_of(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """spec_name, capacity, doc_id, piece, start, n_tokens: every document for each specification, cut into pieces of the
     capacity and a rest only if it alone exceeds it. Specifications without a capacity above 0 have no items."""
-    s = specs.where("spec_name IS NOT NULL AND capacity_tokens > 0").groupBy("spec_name").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
+    s = specs.where("spec_name IS NOT NULL AND capacity_tokens > 0").groupBy("spec_name").agg(F.max("capacity_tokens").cast("bigint").alias("capacity")).orderBy("spec_name").limit(MAX_SPECS + 1).collect()
+    if len(s) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} specifications")
+    each = F.array(*[F.struct(F.lit(r.spec_name).alias("spec_name"), F.lit(r.capacity).cast("bigint").alias("capacity")) for r in s]) if s else F.expr("CAST(array() AS array<struct<spec_name: string, capacity: bigint>>)")
     pieces = F.explode(F.expr("sequence(0L, greatest(0L, ceil(n_tokens / capacity) - 1))"))
-    cut = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens")).join(F.broadcast(s), F.col("n_tokens") >= 0).select("spec_name", "capacity", "doc_id", pieces.alias("piece"), "n_tokens")
+    every = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.explode(each).alias("s")).select("s.*", "doc_id", "n_tokens")
+    cut = every.select("spec_name", "capacity", "doc_id", pieces.alias("piece"), "n_tokens")
     return cut.select("spec_name", "capacity", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("start"), F.expr("least(capacity, n_tokens - piece * capacity)").alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, specs: DataFrame, per_part: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """spec_name, capacity, container, doc_id, piece, start, n_tokens: every document's place for each specification.
+def pack(sizes: DataFrame, specs: DataFrame, per_part: int = PARTITION_ITEMS) -> DataFrame:
+    """spec_name, capacity, container, doc_id, piece, start, n_tokens, certified: every document's place for each
+    specification.
 
     `sizes` has doc_id and n_tokens; `specs` spec_name and capacity_tokens (a table of fixed size). `container` is unique
-    within a specification, `start` the piece's first token. Documents without tokens lie in a container too, in its
+    within a specification, `start` the piece's first token; `certified` says that the documents packed together with this
+    one can't do with fewer containers. Documents without tokens lie in a container too, in its
     remaining room of 0; repeated and NULL ids are items of their own. Rounds are written tables.
     """
     items = written(items_of(sizes, specs), "items")
+    out = ["spec_name", "capacity", "container", "doc_id", "piece", "start", "n_tokens", "certified"]
+    done = lambda df: df.withColumn("certified", ~F.col("gap")).select(out)
     name = lambda k: F.concat_ws(".", F.lit(k), "part", "bin").alias("container")
-    out = ["spec_name", "capacity", "container", "doc_id", "piece", "start", "n_tokens"]
     counts = {k: v[0] for k, v in _by_spec(items, F.count(F.lit(1))).items()}
-    state = written(_packed(items, counts, 0, per_part), "packed-0").withColumn("container", name(0))
+    # row numbers of a written table are the same in every run, so repeated ids are divided too
+    first = _packed(items.withColumn("old", F.lit("")), counts, F.xxhash64(F.monotonically_increasing_id()), per_part)
+    state = written(first, "packed-0").withColumn("container", name(0))
     settled, k = [], 0
     while True:
-        again = state.where("gap AND used < capacity")
-        settled.append(state.where("NOT (gap AND used < capacity)"))
+        open_ = "gap AND used < capacity"
+        again = state.where(open_)
+        settled.append(done(state.where(f"NOT ({open_})")))
         k += 1
-        had = _by_spec(again, F.count(F.lit(1)), F.countDistinct("container"))
-        several = {s: n for s, (n, _) in had.items() if n > per_part or k > 1 or counts[s] > per_part}
-        if k > rounds or not several:
-            settled.append(again)
+        had = {s: n for s, (n,) in _by_spec(again, F.count(F.lit(1))).items()}
+        if not had or k > 1 and not any(n > per_part for n in had.values()) and alone:
+            settled.append(done(again))
             break
-        new = written(_packed(again.where(F.col("spec_name").isin(list(several))), several, k, per_part), f"packed-{k}").withColumn("container", name(k))
-        got = _by_spec(new, F.countDistinct("part", "bin"))
-        better = [s for s in several if got[s][0] < had[s][1]]
-        settled.append(again.where(~F.col("spec_name").isin(better)))
-        if not better:
+        alone = all(n <= per_part for n in had.values())  # one pool each: packing it once more changes nothing
+        # whole containers are pooled, those of one partition in several pools
+        pooled = written(_packed(again.withColumn("old", F.col("container")).drop("container", "part", "bin", "used", "gap"), had, F.xxhash64("old", F.lit(k)), per_part), f"packed-{k}").withColumn("container", name(k))
+        per = pooled.groupBy("spec_name", "part").agg(F.count_distinct("bin").alias("new_n"), F.count_distinct("old").alias("old_n"))
+        won = written(per.where("new_n < old_n").select("spec_name", "part"), "gains")  # a row per pool
+        if not won.limit(1).count():
+            settled.append(done(again))
             break
-        state = new.where(F.col("spec_name").isin(better))
-    result = settled[0].select(out)
+        better = pooled.join(won, ["spec_name", "part"], "left_semi")
+        lost = pooled.join(won, ["spec_name", "part"], "left_anti").withColumn("container", F.col("old"))
+        full = better.groupBy("spec_name", "container").agg(F.sum("n_tokens").alias("used"))
+        kept = lost.drop("used").join(lost.groupBy("spec_name", "container").agg(F.sum("n_tokens").alias("used")), ["spec_name", "container"])
+        cols = ["spec_name", "capacity", "doc_id", "piece", "start", "n_tokens", "container", "used", "gap"]
+        state = written(better.drop("used").join(full, ["spec_name", "container"]).select(cols).unionByName(kept.select(cols)), f"state-{k}")
+    result = settled[0]
     for s in settled[1:]:
-        result = result.unionByName(s.select(out))
+        result = result.unionByName(s)
     return result
 
 

@@ -61,14 +61,14 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per capacity: containers, the number that no packing goes below, tokens, unused share."""
+    """Per capacity: containers, the number that no packing goes below, the gap between them, tokens, unused share."""
     sizes = written(_sizes(spark, sf_dir), "sizes")
     specs = table(spark, sf_dir, "pack_specs")
     least = packing.lower_bounds(packing.items_of(sizes, specs))
     bound = spark.createDataFrame(list(least.items()), "spec_name string, lower_bound bigint")
-    used = packing.pack(sizes, specs).groupBy("spec_name", "capacity", "container").agg(F.sum("n_tokens").alias("used"))
-    per = used.groupBy("spec_name", "capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
-    return per.join(bound, "spec_name").withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
+    used = packing.pack(sizes, specs).groupBy("spec_name", "capacity", "container").agg(F.sum("n_tokens").alias("used"), F.min("certified").alias("certified"))
+    per = used.groupBy("spec_name", "capacity").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"), F.count_if("certified").alias("n_certified"))
+    return per.join(bound, "spec_name").withColumns({"gap": F.col("n_containers") - F.col("lower_bound"), "unused_share": 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))})
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple:
