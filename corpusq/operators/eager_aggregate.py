@@ -20,37 +20,38 @@ def _states(df: DataFrame, on: list[str], by: list[str], sums: list[str], side:
     return df.groupBy(*keys, *groups).agg(n.alias(f"__{side}n"), *[F.sum(F.col(f"`{c}`")).alias(f"__{side}s{i}") for i, c in enumerate(sums)])
 
 
-def eager_join_aggregate(left: DataFrame, right: DataFrame, on: list[str], by_left: list[str] = (), by_right: list[str] = (), sum_left: list[str] = (), sum_right: list[str] = (), how: str = "inner", count_left: str | None = None) -> DataFrame:
+def eager_join_aggregate(left: DataFrame, right: DataFrame, on: list[str], by_left: list[str] = (), by_right: list[str] = (), sum_left: list[str] = (), sum_right: list[str] = (), how: str = "inner", count_left: str | None = None, count_right: str | None = None, salts: int = 1, by_key: bool = False) -> DataFrame:
     """GROUP BY by_left, by_right over `left` JOIN `right` USING (on): n_rows, sum_<c> for each summed column.
 
-    A group column is named as in its table; the two tables' group columns must differ in name. `how` is inner or left.
-    NULL keys match nothing, as in SQL, and with `left` are kept with NULL groups of the right. Sums ignore NULLs and
-    are NULL where all are. Empty inputs give no rows. With `count_left`, left rows are states themselves, standing for that
-    many rows (its sums then cover all of them).
+    A group column is named as in its table; the two tables' group columns must differ in name. `how` is inner, left or full.
+    NULL keys match nothing, as in SQL, and with `left` or `full` are kept with NULL groups of the other side. Sums ignore NULLs
+    and are NULL where all are. Empty inputs give no rows. With `count_left` or `count_right`, rows of that side are states
+    themselves, standing for that many rows (its sums then cover all of them).
+
+    `by_key` keeps the join key: its columns, n_left and n_right, the rows of either side (NULL where a side has none), come
+    too. `salts`: a key may have so many groups on the left that their states, few for each row as they are, are still too
+    many for one task; they are dealt to so many parts, and the right side's states, which should be few, repeated for each.
     """
     by_left, by_right, sum_left, sum_right = list(by_left), list(by_right), list(sum_left), list(sum_right)
     if clash := set(by_left) & set(by_right):
         raise ValueError(f"group columns of both sides: {sorted(clash)}")
-    if how not in ("inner", "left"):
+    if how not in ("inner", "left", "full"):
         raise ValueError(how)
+    if salts > 1 and how == "full":
+        raise ValueError("a full join can't be salted: states without a partner would count once per part")
     a = _states(left, on, by_left, sum_left, "l", count_left)
-    b = _states(right, on, by_right, sum_right, "r", None)
-    joined = a.join(b, [f"__k{i}" for i in range(len(on))], how)
-    pairs = F.col("__ln") * F.coalesce(F.col("__rn"), F.lit(1))
+    b = _states(right, on, by_right, sum_right, "r", count_right)
+    keys = [f"__k{i}" for i in range(len(on))]
+    if salts > 1:
+        a = a.withColumn("__salt", F.pmod(F.xxhash64(*[f"__lg{i}" for i in range(len(by_left))], F.lit(0)), F.lit(salts)))
+        b = b.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    joined = a.join(b, [*keys, *(["__salt"] if salts > 1 else [])], how)
+    n_left, n_right = F.coalesce(F.col("__ln"), F.lit(1)), F.coalesce(F.col("__rn"), F.lit(1))
     groups = [F.col(f"__lg{i}").alias(c) for i, c in enumerate(by_left)] + [F.col(f"__rg{i}").alias(c) for i, c in enumerate(by_right)]
+    groups += [F.col(k).alias(c) for k, c in zip(keys, on, strict=True)] if by_key else []
     return joined.groupBy(*groups).agg(
-        F.sum(pairs).alias("n_rows"),
-        *[F.sum(F.col(f"__ls{i}") * F.coalesce(F.col("__rn"), F.lit(1))).alias(f"sum_{c}") for i, c in enumerate(sum_left)],
-        *[F.sum(F.col(f"__rs{i}") * F.col("__ln")).alias(f"sum_{c}") for i, c in enumerate(sum_right)],
+        F.sum(n_left * n_right).alias("n_rows"),
+        *([F.sum("__ln").alias("n_left"), F.sum("__rn").alias("n_right")] if by_key else []),
+        *[F.sum(F.col(f"__ls{i}") * n_right).alias(f"sum_{c}") for i, c in enumerate(sum_left)],
+        *[F.sum(F.col(f"__rs{i}") * n_left).alias(f"sum_{c}") for i, c in enumerate(sum_right)],
     )
-
-
-def term_states(tokens: DataFrame, layers: list[str], by: list[str]) -> DataFrame:
-    """layer, term, `by`, n: positions of each value of each layer, from one pass over the tokens.
-
-    All layers are counted together first, so that it is the counts that are turned into one row per layer, not the
-    tokens. NULL terms are kept.
-    """
-    together = tokens.groupBy(*layers, *by).agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("layer"), F.col(x).alias("term")) for x in layers])).alias("t")
-    return together.select(pairs, *by, "n").groupBy("t.layer", "t.term", *by).agg(F.sum("n").alias("n"))

@@ -5,7 +5,7 @@ an independent set of nodes with one child out of their chains, in turn, so O(lo
 depth. Undoing the recorded contractions in reverse gives each node's root, depth, path and number of descendants. What
 cannot be contracted to roots is a cycle; everything hanging on it is marked `cyclic`.
 
-Groups of up to `max_local` rows are contracted many at a time as arrays within a task; larger ones (found by a
+Groups of up to `max_local` rows (by default fewer with paths) are contracted many at a time as arrays within a task; larger ones (found by a
 count over the group column) are contracted by joins over the whole cluster, by the same two moves.
 """
 
@@ -24,6 +24,9 @@ from corpusq.functions.storage import written
 
 BATCH_ROWS = 65_536
 MAX_LOCAL = 1_000_000
+#: With paths, whose total length may be the square of a group's rows: rows of a group that one task takes, and squares added
+#: up over the groups that it takes at once.
+MAX_LOCAL_PATHS, MAX_SQUARES = 4_000, 1 << 25
 
 
 def contract(parent: np.ndarray, paths: bool = False) -> dict[str, np.ndarray | list]:
@@ -118,7 +121,17 @@ def _parents(group: np.ndarray, node: pa.ChunkedArray, parent: pa.ChunkedArray,
 def _local(group: str, node: str, parent: str, label: str | None, out: pa.Schema):
     paths = "path" in out.names
 
-    def solve(t: pa.Table) -> list[pa.RecordBatch]:
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not paths:
+            yield from together(t)
+            return
+        g = _codes(t[group])
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        share = np.cumsum(np.diff(np.r_[start, len(g)]) ** 2) // MAX_SQUARES
+        for lo, hi in zip(cut := start[np.r_[True, share[1:] != share[:-1]]], np.r_[cut[1:], len(g)], strict=True):
+            yield from together(t.slice(int(lo), int(hi - lo)))
+
+    def together(t: pa.Table) -> list[pa.RecordBatch]:
         g, v = _codes(t[group]), t[node].to_numpy()
         first = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])]
         if not first.all():
@@ -205,7 +218,7 @@ def _distributed(rows: DataFrame, lists: list[str]) -> DataFrame:
     return done.withColumns({"cyclic": F.expr("root IS NULL"), "n_below": F.expr("CASE WHEN root IS NOT NULL THEN n_below END")})
 
 
-def resolve_hierarchy(df: DataFrame, group: str, node: str, parent: str, label: str | None = None, paths: bool = True, max_local: int = MAX_LOCAL, size_source: DataFrame | None = None) -> DataFrame:
+def resolve_hierarchy(df: DataFrame, group: str, node: str, parent: str, label: str | None = None, paths: bool = True, max_local: int | None = None, size_source: DataFrame | None = None) -> DataFrame:
     """Every column of `df` plus root, depth (0 at a root), n_below, cyclic and, with `paths`, path (node first, root
     last) and, with `label`, labels on the way.
 
@@ -216,6 +229,7 @@ def resolve_hierarchy(df: DataFrame, group: str, node: str, parent: str, label:
     Group sizes are counted over `size_source` if given: a table that is cheaper to read than `df` and has at least as many
     rows of each group.
     """
+    max_local = max_local or (MAX_LOCAL_PATHS if paths else MAX_LOCAL)
     clash = {"root", "depth", "n_below", "cyclic", "path", "labels"} & set(df.columns)
     if clash:
         raise ValueError(f"column names in use: {sorted(clash)}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusq.operators.eager_aggregate import eager_join_aggregate, term_states
+from corpusq.operators.eager_aggregate import eager_join_aggregate
 from corpusq.operators.hierarchy import resolve_hierarchy
 from corpusq.operators.latest import latest_valid
 from corpusq.sources.delimited import TOKEN_LINES, accepted, rejected, split_lines
@@ -51,17 +51,20 @@ def p2_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("depth > 0").select("sent_idx", F.posexplode("path").alias("distance", "tok"), F.col("tok_in_sent").alias("below_tok")).where("distance > 0").select("sent_idx", "tok", "below_tok", F.col("distance").cast("long"))
 
 
-def _per_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """layer, term, n_rows by eager aggregation through the join with the components."""
-    states = term_states(tokens(spark, sf_dir, "comp", "word", "lemma"), ["word", "lemma"], ["comp"])
-    comps = table(spark, sf_dir, "components").select("comp").distinct()
-    return eager_join_aggregate(states, comps, ["comp"], by_left=["layer", "term"], how="left", count_left="n")
+def _both_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, n_left, n_right: each string's positions as word and as lemma, by eager aggregation through the full join of all
+    positions on word = lemma, which has their product of rows for every string."""
+    together = tokens(spark, sf_dir, "word", "lemma").groupBy("word", "lemma").agg(F.count(F.lit(1)).alias("n"))
+    words, lemmas = together.select(F.col("word").alias("term"), "n"), together.select(F.col("lemma").alias("term"), "n")
+    return eager_join_aggregate(words, lemmas, ["term"], how="full", count_left="n", count_right="n", by_key=True)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _per_term(spark, sf_dir)
-    total = per.groupBy("layer").agg(F.sum("n_rows").alias("total"))  # two rows
-    return per.join(F.broadcast(total), "layer").where(f"term IS NOT NULL AND n_rows * {HEAVY_SHARE} >= total").select("layer", "term")
+    both = _both_layers(spark, sf_dir)
+    total = both.agg(F.sum("n_left").alias("total"))  # one row
+    layers = F.explode(F.array(*[F.struct(F.lit(x).alias("layer"), F.col(n).alias("n")) for x, n in (("word", "n_left"), ("lemma", "n_right"))])).alias("p")
+    per = both.where("term IS NOT NULL").select("term", layers).select("p.*", "term")
+    return per.join(F.broadcast(total)).where(f"n * {HEAVY_SHARE} >= total").select("layer", "term")
 
 
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +73,7 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     comps = table(spark, sf_dir, "components").select("comp", F.coalesce("lang", F.lit("?")).alias("lang"))
     out = None
     for layer in ("word", "lemma"):
-        x = eager_join_aggregate(t, comps, ["comp"], by_left=[layer], by_right=["lang"], sum_left=["glued"]).select(F.lit(layer).alias("layer"), F.col(layer).alias("term"), "lang", F.col("n_rows").alias("n_positions"), F.col("sum_glued").alias("n_glued"))
+        x = eager_join_aggregate(t, comps, ["comp"], by_left=[layer], by_right=["lang"], sum_left=["glued"], salts=16).select(F.lit(layer).alias("layer"), F.col(layer).alias("term"), "lang", F.col("n_rows").alias("n_positions"), F.col("sum_glued").alias("n_glued"))
         out = x if out is None else out.unionByName(x)
     return out.where("term IS NOT NULL")
 

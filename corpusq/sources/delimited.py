@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusq.functions.ordering import running_offsets
+
 QUOTING, COLUMN_COUNT, BAD_VALUE = "quoting", "column_count", "bad_value"
 #: Stands for a line end within a record, where the parser must see one record; also a control character.
 _LINE_END = "\x1e"
@@ -50,7 +52,7 @@ def parse(line: str | None, fmt: Format) -> tuple[list | None, str | None]:
     if fmt.forbidden is not None and fmt.forbidden.search(flat):
         return None, BAD_VALUE
     try:
-        return [fmt.build.get(c, _text)(x) for c, x in zip(fmt.columns, fields, strict=True)], None
+        return [fmt.build.get(c, _text)(x.replace(_LINE_END, "\n")) for c, x in zip(fmt.columns, fields, strict=True)], None
     except ValueError:
         return None, BAD_VALUE
 
@@ -95,6 +97,32 @@ def split_lines(df: DataFrame, line: str, fmt: Format) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def assemble_records(lines: DataFrame, file: str, order: str, line: str, max_lines: int = 1000) -> DataFrame:
+    """`file`, `order` (of the first line) and `line`: physical lines joined, by line ends, to records where quotes span them.
+
+    A line begins a record if the number of quotes before it in its file is even. `order` is unique within a file. A record of
+    more than `max_lines` lines has a quote that was never closed: each of its lines stands for itself, to be judged alone.
+    Running counts are made over ranges of all files, so no task has to hold a file; NULL lines count as empty ones.
+    """
+    text = F.coalesce(F.col(line), F.lit(""))
+    rows = lines.select(F.col(file).alias("__file"), F.col(order).alias("__order"), text.alias("__line"))
+    quotes = running_offsets(rows.withColumn("__n", F.length("__line") - F.length(F.replace("__line", F.lit('"'), F.lit("")))), ["__file", "__order"], {"__all": "__n"})
+    first = quotes.groupBy(F.col("__file").alias("__of")).agg(F.min("__all").alias("__none"))
+    begun = quotes.join(first, F.col("__file").eqNullSafe(F.col("__of"))).withColumn("__begins", ((F.col("__all") - F.col("__none")) % 2 == 0).cast("long"))
+    nr = running_offsets(begun.select("__file", "__order", "__line", "__begins"), ["__file", "__order"], {"__nr": "__begins"}).withColumn("__nr", F.col("__nr") + F.col("__begins"))
+    sizes = nr.groupBy("__nr").agg(F.count(F.lit(1)).alias("__n"))
+    cut = nr.join(sizes, "__nr").withColumn("__alone", F.when(F.col("__n") > max_lines, F.col("__order")))
+    parts = F.sort_array(F.collect_list(F.struct("__order", "__line")))
+    joined = cut.groupBy("__file", "__nr", "__alone").agg(parts.alias("__p"))  # at most max_lines
+    return joined.select(F.col("__file").alias(file), F.get("__p", F.lit(0))["__order"].alias(order), F.array_join(F.transform("__p", lambda x: x["__line"]), "\n").alias(line))
+
+
+def read_delimited(spark: SparkSession, path: str, fmt: Format) -> DataFrame:
+    """Records of text files with file, record_no (order within the file), line, the columns of `fmt` and reason."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("record_no"), F.col("value").alias("line"))
+    return split_lines(assemble_records(read, "file", "record_no", "line"), "line", fmt)
+
+
 def accepted(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNull()).drop("reason")
 
@@ -132,7 +160,8 @@ def _head(x: str) -> int | None:
         return None
     if not (x.isascii() and x.isdigit()):
         raise ValueError("head")
-    return min(int(x), 2**63 - 1) if len(x) < 4000 else 2**63 - 1
+    x = x.lstrip("0") or "0"
+    return int(x) if len(x) < 19 or len(x) == 19 and x <= "9223372036854775807" else None  # valid, but no bigint: NULL, never another number
 
 
 def _upos(x: str) -> str | None:

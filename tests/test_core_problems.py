@@ -11,7 +11,7 @@ from corpusq.operators import hierarchy
 from corpusq.operators.eager_aggregate import eager_join_aggregate
 from corpusq.operators.hierarchy import contract, resolve_hierarchy
 from corpusq.operators.latest import latest_valid
-from corpusq.sources.delimited import TOKEN_LINES, accepted, parse, rejected, split_lines
+from corpusq.sources.delimited import TOKEN_LINES, Format, accepted, assemble_records, parse, read_delimited, rejected, split_lines
 
 
 def brute(parent):
@@ -104,13 +104,29 @@ def test_eager_equals_join(spark):
     b = [(key(), rng.choice("uv"), rng.choice([None, 5, 7])) for _ in range(50)]
     left = spark.createDataFrame(a, "k string, g string, s long")
     right = spark.createDataFrame(b, "k string, h string, t long")
-    for how in ("inner", "left"):
+    for how in ("inner", "left", "full"):
         plain = left.join(right, "k", how).groupBy("g", "h").agg(F.count("*").alias("n_rows"), F.sum("s").alias("sum_s"), F.sum("t").alias("sum_t"))
         got = eager_join_aggregate(left, right, ["k"], ["g"], ["h"], ["s"], ["t"], how)
         assert Counter(map(tuple, got.collect())) == Counter(map(tuple, plain.collect()))
+        if how != "full":
+            salted = eager_join_aggregate(left, right, ["k"], ["g"], ["h"], ["s"], ["t"], how, salts=3)
+            assert Counter(map(tuple, salted.collect())) == Counter(map(tuple, plain.collect()))
+    keyed = {r.k: (r.n_rows, r.n_left, r.n_right) for r in eager_join_aggregate(left, right, ["k"], how="full", by_key=True).collect()}
+    n, m = Counter(x[0] for x in a), Counter(x[0] for x in b)
+    assert keyed == {k: (n[k] * m[k] if k is not None and n[k] and m[k] else n[k] + m[k], n[k] or None, m[k] or None) for k in n.keys() | m.keys()}
+    with pytest.raises(ValueError):
+        eager_join_aggregate(left, right, ["k"], how="full", salts=2)
     assert eager_join_aggregate(left.limit(0), right, ["k"], ["g"]).count() == 0
 
 
+def test_many_long_paths_at_once(spark, monkeypatch):
+    """Chains whose squares pass the bound are solved a few at a time; longer ones by joins."""
+    monkeypatch.setattr(hierarchy, "MAX_SQUARES", 1000)
+    rows = [(g, i, i - 1) for g in range(9) for i in range(25)]
+    got = resolve_hierarchy(spark.createDataFrame(rows, "g int, v int, p int"), "g", "v", "p", max_local=25).collect()
+    assert len(got) == 225 and all(r.path == list(range(r.v, -1, -1)) for r in got)
+
+
 def test_latest(spark):
     rows = [(1, "a", "2024-01-01"), (1, "b", "2024-01-02"), (2, "c", None), (2, "d", "2024-01-01"), (3, None, "2024-01-01"), (3, None, "2024-01-01"), (None, "z", "2024-01-01")]
     df = spark.createDataFrame(rows, "k int, v string, t string").withColumn("ingested_at", F.to_timestamp("t")).drop("t")
@@ -141,3 +157,39 @@ def test_reasons(spark):
     with pytest.raises(ValueError):
         split_lines(df.withColumn("head", F.lit(1)), "line", TOKEN_LINES)
     assert split_lines(df.limit(0), "line", TOKEN_LINES).count() == 0
+
+
+def test_heads_beyond_bigint():
+    line = "s,1,a,a,DET,_,_,{},_,_,_"
+    head = lambda x: parse(line.format(x), TOKEN_LINES)[0][7]
+    assert head("9223372036854775807") == 2**63 - 1 and head("0009") == 9 and head("9223372036854775808") is None and head("1" * 5000) is None
+
+
+def brute_records(lines, most):
+    out, at = [], 0
+    while at < len(lines):
+        end, quotes = at, 0
+        while end < len(lines):
+            quotes += (lines[end][1] or "").count('"')
+            end += 1
+            if quotes % 2 == 0:
+                break
+        part = lines[at:end]
+        out += [(o, x or "") for o, x in part] if len(part) > most else [(part[0][0], "\n".join(x or "" for _, x in part))]
+        at = end
+    return out
+
+
+def test_records_over_several_lines(spark, tmp_path):
+    rng = random.Random(7)
+    files = {f"f{i}": [(k, rng.choice(["a,b", 'a,"b', 'c",d', '"x""y"', "", None, 'z,"'])) for k in range(rng.randrange(1, 30))] for i in range(6)}
+    files["open"] = [(0, "a"), (1, 'b,"'), *[(k, "c") for k in range(2, 40)]]
+    rows = [(f, k, x) for f, lines in files.items() for k, x in lines]
+    rng.shuffle(rows)
+    got = assemble_records(spark.createDataFrame(rows, "f string, k int, x string"), "f", "k", "x", max_lines=9).collect()
+    assert sorted((r.f, r.k, r.x) for r in got) == sorted((f, k, x) for f, lines in files.items() for k, x in brute_records(lines, 9))
+    assert assemble_records(spark.createDataFrame([], "f string, k int, x string"), "f", "k", "x").count() == 0
+    (tmp_path / "a.csv").write_text('s-1,1,"two\nlines",x\n"a ""b""",2,c,d\n1,2\n', encoding="utf-8")
+    fmt = Format(columns=("s", "n", "form", "more"))
+    read = read_delimited(spark, str(tmp_path), fmt).orderBy("record_no").collect()
+    assert [(r.s, r.form, r.reason) for r in read] == [("s-1", "two\nlines", None), ('a "b"', "c", None), (None, None, "column_count")]
