@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 4096
-#: A route holds at most about this share of a layer's rows; prefixes are burst up to this length. Both bound the table of
-#: burst prefixes that goes to every task: PREFIX / SHARE entries a layer.
+#: A route holds at most about this share of a layer's rows, or half a shuffle partition's if that is less; prefixes are burst
+#: up to this length. Both bound the table of burst prefixes that goes to every task: PREFIX / share entries a layer.
 SHARE, PREFIX = 1 / 64, 4
 #: A task hands its subtrees on when they hold so many terms, and adds up states of one range in steps of about so many rows.
 HELD_TERMS, STEP_ROWS = 500_000, 65_536
@@ -79,10 +79,11 @@ def burst_prefixes(values: DataFrame) -> dict[str, dict[str, int]]:
     """Per layer the prefixes that hold more than SHARE of its rows, with the number of tasks that so many rows ask for."""
     by = values.where("term IS NOT NULL").groupBy("layer", F.substring("term", 1, PREFIX).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     each = by.select("layer", F.explode(F.transform(F.sequence(F.lit(0), F.length("p")), lambda k: F.substr("p", F.lit(1), k))).alias("p"), "n").groupBy("layer", "p").agg(F.sum("n").alias("n"))
+    share = min(SHARE, 0.5 / int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     total = each.where("p = ''").select("layer", F.col("n").alias("total"))
-    heavy = each.join(F.broadcast(total), "layer").where(F.col("n") > F.col("total") * SHARE)  # a row per layer
+    heavy = each.join(F.broadcast(total), "layer").where(F.col("n") > F.col("total") * share)  # a row per layer
     out: dict[str, dict[str, int]] = {}
-    for r in heavy.select("layer", "p", F.ceil(F.col("n") / (F.col("total") * SHARE)).alias("tasks")).collect():
+    for r in heavy.select("layer", "p", F.ceil(F.col("n") / (F.col("total") * share)).alias("tasks")).collect():
         out.setdefault(r.layer, {})[r.p] = r.tasks
     return out
 
