@@ -29,6 +29,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file was last changed, and its length."""
+    fs, p = _at(spark, path)
+    status = fs.getFileStatus(p)
+    return status.getModificationTime(), status.getLen()
+
+
 def is_dir(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusq.errors import UnknownLayer
+from corpusq.functions.storage import written
 from corpusq.operators.latest import latest_valid
 
 #: Layers every corpus has, and those of them that queries can test.
@@ -76,6 +77,14 @@ def feature_keys(tokens: DataFrame) -> tuple[str, ...]:
     return tuple(sorted(r.k for r in found.collect()))
 
 
+def kept(corpus: Corpus) -> Corpus:
+    """The corpus with its valid tokens, sentences and documents written once, for many queries in this application. Tokens
+    stay in the blocks of positions that deliveries are told apart in, so this adds no exchange."""
+    tokens = written(corpus.tokens(*PLACE, *corpus.layers, "no_space_after"), "valid-tokens")
+    rest = {x: written(getattr(corpus, x), x) for x in ("sentences", "documents")}
+    return replace(corpus, tokens_of=lambda columns: tokens.select("pos", *[F.col(f"`{c}`") for c in columns]), **rest)
+
+
 def from_deliveries(spark: SparkSession, directory: str, features: tuple[str, ...] | None = (), block: int = 4096) -> Corpus:
     """A corpus over tables with repeated deliveries (the latest is valid), read lazily and column by column. `features` are
     the keys in feats that get a layer of their own; None: all that any delivery has."""

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusq.model import CORE_LAYERS, Corpus, from_deliveries
+from corpusq.functions import files
+from corpusq.functions.storage import new_path
+from corpusq.model import CORE_LAYERS, Corpus, from_deliveries, kept
 from corpusq.operators import counts, navigation, text
 from corpusq.operators.paging import page, ranked
 from corpusq.plans.compiler import Options, captures, run
-from corpusq.sources.build import assemble
+from corpusq.session import Results
+from corpusq.sources import store
+from corpusq.sources.build import assemble, build_directory
 from corpusq.sources.readers import ConlluReader, PlainTextReader
 
 #: Keys of feats that the SQL of q_distinct_counts has; the corpus has a layer for every key.
@@ -25,10 +29,17 @@ _WITH = f"WITH RECURSIVE t AS ({_LATEST.format(key='pos', table='tokens')}), s A
 
 #: Corpora that were stored and opened stand for the tables they were made of.
 OPEN: dict[str, Corpus] = {}
+_KEPT: dict[tuple, Corpus] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return OPEN.get(sf_dir) or from_deliveries(spark, sf_dir, None)
+    """Made of the deliveries once per application and version of the tables."""
+    if sf_dir in OPEN:
+        return OPEN[sf_dir]
+    key = spark.sparkContext.applicationId, sf_dir, *[files.version(spark, f"{sf_dir}/{t}.parquet") for t in ("tokens", "sentences", "corpus_docs")]
+    if key not in _KEPT:
+        _KEPT[key] = kept(from_deliveries(spark, sf_dir, None))
+    return _KEPT[key]
 
 
 def _add(name: str, query: Callable[[Corpus], DataFrame], sql: str | None = None, more: str = "") -> None:
@@ -167,11 +178,19 @@ _add("q_document_by_stem", lambda c: navigation.resolve_document(c, "bitter_bask
 _add("q_info", lambda c: (lambda i: c.spark.createDataFrame([(i["token_count"], i["document_count"], ",".join(i["components"]), ",".join(i["alignments"]))], "token_count bigint, document_count bigint, components string, alignments string"))(navigation.info(c)), "SELECT (SELECT max(end_pos) FROM d) AS token_count, (SELECT count(*) FROM d) AS document_count, (SELECT string_agg(comp, ',' ORDER BY comp_id) FROM components) AS components, (SELECT string_agg(align_name, ',' ORDER BY align_name) FROM alignment_meta) AS alignments")
 
 
-def _as_conllu(c: Corpus) -> DataFrame:
-    """Every document as the text of one file."""
+def _as_conllu(c: Corpus, units: bool = False) -> DataFrame:
+    """Every document as the text of one file. `units`: ADP and DET after it make a multi-word token, and an empty node
+    follows each CCONJ."""
     cell = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("_"))
     t = c.tokens("doc_idx", "sent_in_doc", "tok_in_sent", "word", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "no_space_after")
     row = F.concat_ws("\t", cell("tok_in_sent"), *[cell(x) for x in ("word", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps")], F.when(F.col("no_space_after"), "SpaceAfter=No").otherwise("_"))
+    if units:
+        w = Window.partitionBy("doc_idx", "sent_in_doc").orderBy("tok_in_sent")
+        blank = F.lit("\t_" * 8)
+        t = t.withColumns({"next_upos": F.lead("upos").over(w), "next_word": F.lead("word").over(w)})
+        fused = F.when(F.expr("upos = 'ADP' AND next_upos = 'DET'"), F.concat(F.expr("concat(tok_in_sent, '-', tok_in_sent + 1)"), F.lit("\t"), "word", F.lit("+"), "next_word", blank))
+        node = F.when(F.col("upos") == "CCONJ", F.concat(F.expr("concat(tok_in_sent, '.1')"), F.lit("\tE:"), "word", blank))
+        row = F.concat_ws("\n", fused, row, node)
     sents = t.groupBy("doc_idx", "sent_in_doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_in_sent", row.alias("r")))), lambda x: x["r"]), "\n").alias("r"))
     docs = sents.groupBy("doc_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_in_doc", "r"))), lambda x: x["r"]), "\n\n").alias("value"))
     return docs.join(c.documents.select("doc_idx", "doc_name"), "doc_idx").select(F.concat_ws("/", F.lpad(F.col("doc_idx").cast("string"), 12, "0"), "doc_name").alias("file"), "value")
@@ -186,3 +205,48 @@ _absent = lambda x: f"nullif(nullif({x}, '_'), '') AS {x}"
 _add("q_conllu_round_trip", _conllu, f"SELECT pos, doc_idx, sent_idx, tok_in_sent, sent_end, doc_end, word, {_absent('lemma')}, {_absent('upos')}, {_absent('feats')}, head, coalesce(no_space_after, false) AS no_space_after FROM t")
 QUERIES["q_plain_text"] = lambda spark, sf_dir: PlainTextReader().parse(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("value"))).rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 SQL["q_plain_text"] = r"SELECT unnest(regexp_extract_all(line, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) AS word, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"
+
+
+def _units(c: Corpus) -> Corpus:
+    return assemble(c.spark, "units", [(None, ConlluReader().parse(_as_conllu(c, units=True)))])
+
+
+def _from_files(c: Corpus) -> DataFrame:
+    """Documents written as files, built from their folder with the strict reader, stored and opened."""
+    path = new_path(c.spark, "files")
+    _as_conllu(c).select(F.element_at(F.split("file", "/"), 1).alias("doc"), "value").write.partitionBy("doc").text(path, lineSep="\n")
+    built = build_directory(c.spark, path, "files", strict=True, reader=ConlluReader("*.txt"))
+    store.save(built, f"{path}-stored")
+    return store.open_corpus(c.spark, f"{path}-stored").tokens("sent_idx", "sent_in_doc", "doc_idx", "word", "lemma", "head", "no_space_after")
+
+
+def _named_results(c: Corpus) -> DataFrame:
+    """A result saved under a name in one session, loaded and paged in the next."""
+    state = new_path(c.spark, "state")
+    first = Results(c, state)
+    first.save(first.execute('[pos="ADJ"]').handle, "adjectives")
+    later = Results(c, state)
+    return later.hits(later.load("adjectives")["handle"], 500, 250)[0].select("hit_idx", "start_pos", "end_pos")
+
+
+_PAIRED = "u AS (SELECT *, lead(upos) OVER w AS next_upos, lead(word) OVER w AS next_word, lag(upos) OVER w AS last_upos FROM t WINDOW w AS (PARTITION BY sent_idx ORDER BY pos))"
+_add("q_files_round_trip", _from_files, f"SELECT pos, sent_idx, sent_in_doc, doc_idx, word, {_absent('lemma')}, head, coalesce(no_space_after, false) AS no_space_after FROM t")
+_add("q_mwt", lambda c: _units(c).mwt, "SELECT pos AS start_pos, pos + 2 AS end_pos, word || '+' || next_word AS form, false AS no_space_after FROM u WHERE upos = 'ADP' AND next_upos = 'DET'", _PAIRED)
+_add("q_mwt_in_range", lambda c: text.mwts_in(_units(c), 301, 2000).select("start_pos", "end_pos"), "SELECT pos AS start_pos, pos + 2 AS end_pos FROM u WHERE upos = 'ADP' AND next_upos = 'DET' AND pos < 2000 AND pos + 2 > 301", _PAIRED)
+_add("q_mwt_surface", lambda c: (lambda b: text.surface_texts(b, _ranges(b), "k"))(_units(c)), """SELECT s.sent_idx AS k, s.start_pos, s.end_pos, (SELECT string_agg(CASE WHEN upos = 'ADP' AND next_upos = 'DET' THEN word || '+' || next_word || CASE WHEN pos = s.end_pos - 2 THEN '' ELSE ' ' END
+ELSE word || CASE WHEN pos = s.end_pos - 1 OR coalesce(no_space_after, false) THEN '' ELSE ' ' END END, '' ORDER BY pos) FROM u WHERE u.pos >= s.start_pos AND u.pos < s.end_pos AND NOT coalesce(upos = 'DET' AND last_upos = 'ADP', false)) AS text FROM s""", _PAIRED)
+_add("q_empty_nodes", lambda c: _units(c).empty_nodes.select("sent_idx", "node_id", "form"), "SELECT sent_idx, tok_in_sent || '.1' AS node_id, 'E:' || word AS form FROM t WHERE upos = 'CCONJ'")
+_add("q_named_results", _named_results, f"SELECT row_number() OVER (ORDER BY pos) - 1 AS hit_idx, pos AS start_pos, pos + 1 AS end_pos FROM t WHERE {_ADJ} QUALIFY hit_idx >= 500 AND hit_idx < 750")
+_add("q_sentence_ids", lambda c: c.sentences.select("sent_idx", "sent_id"), "SELECT sent_idx, sent_id FROM s")
+_add("q_sentences_of_document", lambda c: navigation.sentences(c, 3, 2, 9).select("sent_idx", "start_pos", "end_pos"), "SELECT sent_idx, start_pos, end_pos FROM s WHERE doc_idx = 3 AND sent_in_doc >= 2 AND sent_in_doc < 9")
+_add("q_document_for_sentence", lambda c: navigation.document_for_sentence(c, 77).select("doc_idx", "doc_name"), "SELECT doc_idx, doc_name FROM d WHERE doc_idx = (SELECT doc_idx FROM s WHERE sent_idx = 77)")
+_add("q_edge_sentences", lambda c: c.spark.createDataFrame([navigation.edge_sentences(c, 4)], "first int, last int"), "SELECT min(sent_idx) AS first, max(sent_idx) AS last FROM s WHERE doc_idx = 4")
+_add("q_component_of_document", lambda c: c.spark.createDataFrame([(navigation.component_for_document(c, 5), ",".join(navigation.components_of_language(c, "fr")))], "comp string, french string"), "SELECT (SELECT comp FROM d WHERE doc_idx = 5) AS comp, coalesce((SELECT string_agg(comp, ',' ORDER BY comp_id) FROM components WHERE lang = 'fr'), '') AS french")
+_add("q_layer_kinds", lambda c: c.spark.createDataFrame([(x, c.layer_kind(x), x in c.indexed_layers) for x in c.layers if not x.startswith("feats.")], "layer string, kind string, indexed boolean"), "SELECT unnest(['word', 'lemma', 'upos', 'xpos', 'feats', 'head', 'deprel', 'deps']) AS layer, CASE WHEN layer = 'head' THEN 'int' ELSE 'string' END AS kind, layer NOT IN ('head', 'deps') AS indexed")
+_add("q_count_in_document", lambda c: counts.count_by_document(c, '[pos="NOUN"]', document="bitter_basket_000008.en").select("doc_name", "n"), f"SELECT doc_name, (SELECT count(*) FROM t WHERE t.doc_idx = d.doc_idx AND {_NOUN}) AS n FROM d WHERE doc_name = 'bitter_basket_000008.en.conllu'")
+_add("q_count_by_document_of_component", lambda c: counts.count_by_document(c, '[pos="NOUN"] [pos="ADJ"]', component="es").select("doc_idx", "n"), f"SELECT doc_idx, (SELECT count(*) FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.doc_idx = d.doc_idx AND a.{_NOUN} AND b.{_ADJ}) AS n FROM d WHERE comp = 'es'")
+_add("q_vocabulary_of_document", lambda c: counts.vocabulary(c, "word", document="bitter_basket_000008.en.conllu"), "SELECT DISTINCT word AS value FROM t WHERE doc_idx IN (SELECT doc_idx FROM d WHERE doc_name = 'bitter_basket_000008.en.conllu') AND word IS NOT NULL")
+_add("q_step_voided", lambda c: run(c, '([pos=/[/] | [pos="NOUN"]) [pos="VERB"]').select("start_pos", "end_pos"), "SELECT pos AS start_pos, pos AS end_pos FROM t WHERE false")
+_cql("q_regex_ascii", "[word=/^[[:alpha:]]+$/]", f"{_S} WHERE regexp_full_match(word, '[a-zA-Z]+')")
+_cql("q_regex_repeated", "[word=/^(?:[a-z]{2}+)e$/]", f"{_S} WHERE regexp_full_match(word, '(?:[a-z]{{2}})+e')")
+_cql("q_regex_end", r"[word=/^.[^\s]é$/]", rf"{_S} WHERE regexp_full_match(word, '.[^\s]é')")
