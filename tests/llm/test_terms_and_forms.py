@@ -153,6 +153,20 @@ def test_held_out_accuracy_and_disguises():
     assert list(abuse.document_scores(w, [None, "", "\n", "..."])) == [0, 0, 0, 0]
 
 
+def test_wrong_judgements_are_not_learnt_by_heart():
+    rng = random.Random(12)
+    words = [a + b for a in ("gar", "tol", "mer", "vin", "sed", "pol", "dak", "hul") for b in ("den", "sk", "ral", "lu", "pex")]
+    docs = [(". ".join([t, *(" ".join(["the", *rng.choices(words, k=5)]) for _ in range(3))]), y) for t, y in corpus(rng, 900)]
+    wrong = set(rng.sample([i for i, (_, y) in enumerate(docs) if not y], 60))
+    s = abuse.document_scores(abuse.fit([t for t, _ in docs], [int(y or i in wrong) for i, (_, y) in enumerate(docs)]), [t for t, _ in docs])
+    assert sum(s[i] >= 0.3 for i in wrong) <= 12
+    bad = [i for i, (_, y) in enumerate(docs) if y]
+    assert sum(s[i] >= 0.3 for i in bad) >= 0.98 * len(bad)
+    harmless = [t for t, y in docs if not y]  # nobody else to ask: the only judgement of its kind counts
+    only = abuse.fit([*harmless, "You worthless ban ruined it."], [0] * len(harmless) + [1])
+    assert abuse.document_scores(only, ["You worthless ban ruined it."])[0] >= 0.3
+
+
 def test_scoring_and_training(spark):
     rng = random.Random(9)
     docs = [(i, t, y) for i, (t, y) in enumerate(corpus(rng, 300))]
